@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factloom.session import prepare, shared_folder
 
@@ -27,6 +28,14 @@ def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(_table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.language_id import fit_on_documents, held_out, predict_languages
+
+    docs = _table(spark, sf_dir, "documents")
+    found = predict_languages(docs, fit_on_documents(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,8 +54,14 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.simhash import simhash_components
+
+    return simhash_components(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_hilbert_shards, op7_token_store, op8_byte_bpe)}
+    return {f.__name__: f for f in (op1_token_counts, op3_hilbert_shards, op4_language_id, op7_token_store, op8_byte_bpe, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
