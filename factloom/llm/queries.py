@@ -22,6 +22,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.fingerprints import document_fingerprints
+
+    return document_fingerprints(_table(spark, sf_dir, "documents")).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.sharding import hilbert_shards
 
@@ -36,6 +42,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.decontamination import contamination
+
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("hits")
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,8 +73,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_hilbert_shards, op4_language_id, op7_token_store, op8_byte_bpe, op9_simhash)}
+    return {f.__name__: f for f in (op1_token_counts, op2_merkle_fingerprints, op3_hilbert_shards, op4_language_id, op5_decontamination, op7_token_store, op8_byte_bpe, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from factloom.llm import decontamination, fingerprints
+
+    return {"op2_merkle_fingerprints": fingerprints.oracle_sql(), "op5_decontamination": decontamination.ORACLE_SQL}
