@@ -72,8 +72,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.html_text import extract_main_text
+
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_merkle_fingerprints, op3_hilbert_shards, op4_language_id, op5_decontamination, op7_token_store, op8_byte_bpe, op9_simhash)}
+    return {f.__name__: f for f in (op1_token_counts, op2_merkle_fingerprints, op3_hilbert_shards, op4_language_id, op5_decontamination, op7_token_store, op8_byte_bpe, op9_simhash, op10_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
