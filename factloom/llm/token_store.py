@@ -77,7 +77,7 @@ class LibraryEncoder:
     """
 
     #: Pieces in one call; each begins at a token with a space.
-    ROW = 1000
+    ROW = 200
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -8,17 +8,18 @@ surrounds it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
 import regex
 
 #: A space that white space or the end of the text follows: text can't be cut there.
-_ODD = regex.compile(r" (?=\s|\Z)")
+_ODD = re.compile(r" \s| \Z")
 _CUT = regex.compile(r"(?= \S)", regex.V1)
 #: Longest piece in characters, and most pieces, that a worker remembers.
 KEEP_CHARS = 1000
-KEEP_PIECES = 400_000
+KEEP_PIECES = 800_000
 
 
 class _Known(dict):
