@@ -48,6 +48,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("hits")
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.substrings import repeated_passages
+
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -79,7 +85,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_merkle_fingerprints, op3_hilbert_shards, op4_language_id, op5_decontamination, op7_token_store, op8_byte_bpe, op9_simhash, op10_main_text)}
+    return {f.__name__: f for f in (op1_token_counts, op2_merkle_fingerprints, op3_hilbert_shards, op4_language_id, op5_decontamination, op6_repeated_passages, op7_token_store, op8_byte_bpe, op9_simhash, op10_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
