@@ -165,6 +165,11 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     All columns stay as they are. Rows of null doc_id are kept, as nothing tells
     them apart; of rows that repeat the kept doc_id one stays.
     """
-    kept = simhash_components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    own = docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
+    found = cut(simhash_components(docs).select("doc_id", "component_id"))
+    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
+    own = docs.join(kept, docs["doc_id"].cast("long") == kept["__kept"], "left_semi")
+    if not kept.groupBy("__kept").count().filter("count > 1").isEmpty():
+        own = own.dropDuplicates(["doc_id"])
+    if found.filter("doc_id is null").isEmpty():
+        return own
     return own.unionByName(docs.filter("doc_id is null"))
