@@ -1 +1,6 @@
+"""Queries of the engine over the bound tables."""
 
+from factloom.plans import store_queries  # noqa: F401
+from factloom.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
