@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.session import cut, prepare
+from factloom.session import cut, prepare, shuffle_partitions
 
 #: Phrase digests in a fingerprint, and hexadecimal digits of a phrase's and of a paragraph's digest.
 SKETCH, PHRASE_HEX, NODE_HEX = 64, 8, 16
@@ -97,10 +97,15 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     pairs = _next_ids(base)
     sizes = base.groupBy("doc_id").agg(F.max(F.char_length("text")).alias("most"))
     wanted = cut(pairs.join(sizes, "doc_id").select(F.col("next_id").alias("giver"), F.col("doc_id").alias("taker"), F.expr("most div 3").alias("take")))
-    lent = base.join(wanted, F.col("doc_id") == F.col("giver"))
+    # both joins read one shuffle of the texts; every id has a giver, rows without an id none
+    texts = base.filter("doc_id is not null").repartition(shuffle_partitions(docs.sparkSession), "doc_id")
+    lent = texts.join(wanted, F.col("doc_id") == F.col("giver"))
     lent = lent.withColumn("node", tree(F.col("text")))
     lent = _finish(lent, "node", "next_fingerprint").select("taker", F.expr("substring(text, 1, take)").alias("prefix"), "next_fingerprint")
-    own = base.join(lent, F.col("doc_id") == F.col("taker"), "left")
+    own = texts.join(lent, F.col("doc_id") == F.col("taker"))
+    lone = base.filter("doc_id is null")
+    if not lone.isEmpty():  # a union keeps Spark from reading the shuffle twice, so it is made only where it holds rows
+        own = own.unionByName(lone, allowMissingColumns=True)
     own = own.withColumn("n_chars", F.char_length("text").cast("long"))
     swap = F.expr("cast(n_chars div 3 as int)")
     edited = F.when(F.col("taker").isNull(), F.col("text")).otherwise(F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 3 as int))"), F.substring(F.coalesce("prefix", F.lit("")), F.lit(1), swap)))
