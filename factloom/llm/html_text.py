@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.order import running_total
+from factloom.llm.tokens import small
 from factloom.session import cut, prepare
 
 #: A pair whose body lines are common to a greater part are copies, not two pages of one template.
@@ -176,7 +177,7 @@ def _neighbours(pages: DataFrame) -> DataFrame:
     """page_id and the hashed lines of up to two neighbours of other paths within the host, the nearer first."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             found = [_hashes(lines(p)) for p in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("host"), b.column("path"), pa.array(found, pa.list_(pa.int64()))], names=["page_id", "host", "path", "found"])
 
@@ -219,7 +220,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     rows = own.join(near, (own["host"] == near["__host"]) & (own["path"] == near["__path"]), "left").select("page_id", "url", "html", "others")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             texts = [main_text(p, o or []) for p, o in zip(b.column("html").to_pylist(), b.column("others").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id").cast(pa.int64()), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

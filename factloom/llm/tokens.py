@@ -9,9 +9,10 @@ surrounds it.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 #: A space that white space or the end of the text follows: text can't be cut there.
@@ -87,6 +88,13 @@ class PieceEncoder:
         return np.split(out, cut[:-1]) if len(cut) else []
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that few texts at a time are Python strings."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def in_slices(texts: list[str], most: int = 4_000_000):
     """Index ranges of about ``most`` characters each, one text at least."""
     start = size = 0
