@@ -122,7 +122,7 @@ def lines(page: str | None) -> list[tuple[str, int]]:
         if tag == "p" and open_tags and open_tags[-1][0] == "p":
             shut -= open_tags.pop()[1]
         out_of = _left_out(tag, m[3], article > 0)
-        if tag in _BLOCKS or out_of:
+        if tag in _BLOCKS or out_of or shut and any(n == tag for n, _ in open_tags):
             if out_of and tag not in _BLOCKS and not shut:
                 held.append(" ")
             open_tags.append((tag, out_of))
