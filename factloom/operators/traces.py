@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,26 +67,41 @@ def path_signatures(rows: DataFrame, most: int = PATHS) -> DataFrame:
     A trace is gathered in one task; one with more than ``most`` distinct paths gives none.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        children: dict = {}
-        known = set(pdf["span"])
-        for r in pdf.itertuples(index=False):
-            children.setdefault(r.parent if r.parent in known else None, []).append(r)
-        found: dict[str, tuple[float, int]] = {}
-        stack = [(r, (r.service,), r.latency_ms, int(r.error), frozenset([r.span])) for r in children.get(None, [])]
-        while stack:
-            r, labels, ms, errors, met = stack.pop()
-            below = [c for c in children.get(r.span, []) if c.span not in met]
-            if not below:
-                found.setdefault(" > ".join(labels), (ms, errors))
-                if len(found) > most:
-                    found = {}
-                    break
-            stack += [(c, (*labels, c.service), ms + c.latency_ms, errors + int(c.error), met | {c.span}) for c in below]
-        return pd.DataFrame([(k, ms, e) for k, (ms, e) in sorted(found.items())], columns=["signature", "ms", "errors"])
-
-    each = rows.groupBy("trace").applyInPandas(run, "signature string, ms double, errors long")
-    return each.groupBy("signature").agg(F.count("*").alias("count"), F.avg("ms").alias("mean_ms"), F.sum("errors").alias("errors"))
+    names = ["trace", "span", "parent", "service", "latency_ms", "error"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in names), strict=True))
+        out: list[tuple] = []
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.float64(), pa.int64()))], names=["signature", "ms", "errors"])
+        for _, own in groupby(each, key=lambda r: r[0]):
+            out += trace_paths(list(own), most)
+            if len(out) > 10_000:
+                yield batch()
+                out = []
+        yield batch()
+
+    dealt = rows.select(*names).repartition("trace").sortWithinPartitions("trace", "span")
+    paths = dealt.mapInArrow(run, "signature string, ms double, errors long")
+    return paths.groupBy("signature").agg(F.count("*").alias("count"), F.avg("ms").alias("mean_ms"), F.sum("errors").alias("errors"))
+
+
+def trace_paths(spans_of_trace: list[tuple], most: int = PATHS) -> list[tuple[str, float, int]]:
+    """(signature, latency, errors) of the root-to-leaf paths of one trace, distinct by labels; none beyond ``most``."""
+    known = {r[1] for r in spans_of_trace}
+    children: dict = {}
+    for r in spans_of_trace:
+        children.setdefault(r[2] if r[2] in known else None, []).append(r)
+    found: dict[str, tuple[float, int]] = {}
+    stack = [(r, (r[3],), r[4], int(r[5]), frozenset([r[1]])) for r in children.get(None, [])]
+    while stack:
+        r, labels, ms, errors, met = stack.pop()
+        below = [c for c in children.get(r[1], []) if c[1] not in met]
+        if not below:
+            found.setdefault(" > ".join(labels), (ms, errors))
+            if len(found) > most:
+                return []
+        stack += [(c, (*labels, c[3]), ms + c[4], errors + int(c[5]), met | {c[1]}) for c in below]
+    return [(k, ms, e) for k, (ms, e) in sorted(found.items())]
 
 
 def reconcile(observed: DataFrame, static: DataFrame, declared: DataFrame) -> DataFrame:

@@ -28,9 +28,9 @@ def trace_edges_replayed(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {B.SPANS_SQL}, j AS (SELECT trace, string_agg(service, ' > ' ORDER BY ts, event_id) AS signature, sum(latency_ms) AS ms, sum(CAST(error AS INT)) AS errors FROM spans GROUP BY 1)
-SELECT signature, CAST(count(*) AS BIGINT) AS count, round(avg(ms), 4) AS mean_ms, CAST(sum(errors) AS BIGINT) AS errors FROM j GROUP BY 1""")
+SELECT signature, CAST(count(*) AS BIGINT) AS count, round(avg(ms), 8) AS mean_ms, CAST(sum(errors) AS BIGINT) AS errors FROM j GROUP BY 1""")
 def trace_signatures(t: Tables) -> DataFrame:
-    return traces.path_signatures(B.transitions(t)).select("signature", "count", F.round("mean_ms", 4).alias("mean_ms"), "errors")
+    return traces.path_signatures(B.transitions(t)).select("signature", "count", F.round("mean_ms", 8).alias("mean_ms"), "errors")
 
 
 _OBS = "obs AS (SELECT DISTINCT parent_service AS source, service AS target FROM spans WHERE parent IS NOT NULL AND event_id % 3 = 0)"
