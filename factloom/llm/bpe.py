@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from factloom.llm.tokens import PieceEncoder, in_slices
+from factloom.llm.tokens import PieceEncoder, in_slices, small
 from factloom.session import prepare
 
 
@@ -122,7 +122,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for b in batches:
+        for b in small(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
             rows: list[tuple] = []
             for lo, hi in in_slices(texts):

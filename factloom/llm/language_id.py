@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.tokens import in_slices
+from factloom.llm.tokens import in_slices, small
 from factloom.session import prepare
 
 #: Hashed features; scale of the frequencies; rows of each language that the model learns from (expected number).
@@ -134,7 +134,7 @@ def fit(train: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, rows_per_language / n))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             at, weight = [], []
             for t in b.column("text").to_pylist():
                 codes, _ = _codes([t])
@@ -173,7 +173,7 @@ def predict_languages(docs: DataFrame, model: Model) -> DataFrame:
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             texts, langs, scores = [t or "" for t in b.column("text").to_pylist()], [], []
             for lo, hi in in_slices(texts):
                 x, y = model.predict(texts[lo:hi])
@@ -203,7 +203,7 @@ def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.0) ->
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             texts, keep = [t or "" for t in b.column("text").to_pylist()], []
             for lo, hi in in_slices(texts):
                 keep += [lang != UNDETERMINED and score >= least_score for lang, score in zip(*model.predict(texts[lo:hi]), strict=True)]

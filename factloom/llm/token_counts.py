@@ -15,7 +15,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from factloom.llm.tokens import in_slices
+from factloom.llm.tokens import in_slices, small
 from factloom.session import prepare
 
 #: Stands before each word, as in the vocabulary; pieces that begin with it open a word, the others continue one.
@@ -108,7 +108,7 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = from_rank_file(vocabulary)
-        for b in batches:
+        for b in small(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
             n_bytes, n_words, n_tokens = [], [], []
             for lo, hi in in_slices(texts):

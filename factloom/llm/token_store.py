@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.order import running_total
-from factloom.llm.tokens import PieceEncoder, in_slices
+from factloom.llm.tokens import PieceEncoder, in_slices, small
 from factloom.session import prepare, shuffle_partitions
 
 #: Id that ends each document.
@@ -78,6 +78,8 @@ class LibraryEncoder:
 
     #: Pieces in one call; each begins at a token with a space.
     ROW = 200
+    #: Pieces that a worker remembers.
+    KEEP = 800_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -88,7 +90,7 @@ class LibraryEncoder:
         self.opens = np.zeros(self.library.get_vocab_size(), bool)  # ids of tokens that begin with a space
         for token, i in self.library.get_vocab().items():
             self.opens[i] = token.startswith("Ġ")
-        self.pieces = PieceEncoder(self._encode_new)
+        self.pieces = PieceEncoder(self._encode_new, self.KEEP)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -143,7 +145,7 @@ def _chunk_rows(docs: DataFrame, tokenizer: str) -> DataFrame:
 
         encoder, press, met = library_encoder(tokenizer), zstandard.ZstdCompressor(3), set()
         schema = pa.schema([("kind", pa.string()), ("spread", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int32())), ("root", pa.binary()), ("digest", pa.binary()), ("payload", pa.binary())])
-        for b in batches:
+        for b in small(batches):
             ids_of, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
             for lo, hi in in_slices(texts):
                 rows = []
@@ -157,9 +159,9 @@ def _chunk_rows(docs: DataFrame, tokenizer: str) -> DataFrame:
                         lengths.append(e - last)
                         if digest not in met:
                             met.add(digest)
-                            small = stream[last:e]
-                            wide = small.max() > 0xFFFF
-                            rows.append(("chunk", int.from_bytes(digest[:8], "big", signed=True), None, None, None, None, None, digest, (b"\4" if wide else b"\2") + press.compress(data if wide else small.astype("<u2").tobytes())))
+                            part = stream[last:e]
+                            wide = part.max() > 0xFFFF
+                            rows.append(("chunk", int.from_bytes(digest[:8], "big", signed=True), None, None, None, None, None, digest, (b"\4" if wide else b"\2") + press.compress(data if wide else part.astype("<u2").tobytes())))
                         last = e
                     spread = (doc_id or 0) * 0x9E3779B97F4A7C15 % (1 << 63)
                     rows.append(("recipe", spread, doc_id, len(stream), digests, lengths, merkle_root(digests), None, None))

@@ -20,7 +20,7 @@ _ODD = re.compile(r" \s| \Z")
 _CUT = regex.compile(r"(?= \S)", regex.V1)
 #: Longest piece in characters, and most pieces, that a worker remembers.
 KEEP_CHARS = 1000
-KEEP_PIECES = 800_000
+KEEP_PIECES = 200_000
 
 
 class _Known(dict):
@@ -40,12 +40,12 @@ class PieceEncoder:
     """Encodes texts piece by piece, each distinct piece once.
 
     ``encode_pieces`` gives (ids of all pieces in a row, number of ids of each).
-    The pieces met are forgotten once they are more than KEEP_PIECES or one of
+    The pieces met are forgotten once they are more than ``keep`` or one of
     them is longer than KEEP_CHARS; this changes speed only, never ids.
     """
 
-    def __init__(self, encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
-        self.encode_pieces = encode_pieces
+    def __init__(self, encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], keep: int = KEEP_PIECES):
+        self.encode_pieces, self.keep = encode_pieces, keep
         self._forget()
 
     def _forget(self) -> None:
@@ -55,7 +55,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as unsigned 32-bit integers."""
-        if self.done > KEEP_PIECES:
+        if self.done > self.keep:
             self._forget()
         word, exact = self.words.__getitem__, self.exact.__getitem__
         at: list[int] = []
@@ -93,6 +93,7 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Rec
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def in_slices(texts: list[str], most: int = 4_000_000):
