@@ -18,29 +18,32 @@ import regex
 #: A space that white space or the end of the text follows: text can't be cut there.
 _ODD = re.compile(r" \s| \Z")
 _CUT = regex.compile(r"(?= \S)", regex.V1)
+#: Letters before marks that are neither letters, numbers nor white space, and lines without other white space: a pre-token ends between them.
+_TAIL = re.compile(r"([^\W\d_]+)([^\w\s]+)")
+_LINES = re.compile(r"\S+(?:\n\S+)+")
 #: Longest piece in characters, and most pieces, that a worker remembers.
 KEEP_CHARS = 1000
 KEEP_PIECES = 200_000
 
 
 class _Known(dict):
-    """Position of each piece; a piece that is met for the first time waits to be encoded."""
+    """Number of each piece; one that is met for the first time is taken in."""
 
-    def __init__(self, waiting: list[str], prefix: str):
+    def __init__(self, owner: PieceEncoder, prefix: str):
         super().__init__()
-        self.waiting, self.prefix = waiting, prefix
+        self.owner, self.prefix = owner, prefix
 
     def __missing__(self, piece: str) -> int:
-        self[piece] = n = len(self.waiting)
-        self.waiting.append(self.prefix + piece)
+        self[piece] = n = self.owner.take(self, piece)
         return n
 
 
 class PieceEncoder:
     """Encodes texts piece by piece, each distinct piece once.
 
-    ``encode_pieces`` gives (ids of all pieces in a row, number of ids of each).
-    The pieces met are forgotten once they are more than ``keep`` or one of
+    A piece that ends in punctuation, or holds single line ends, is made of shorter
+    ones. ``encode_pieces`` gives (ids of all pieces in a row, number of ids of
+    each). The pieces met are forgotten once they are more than ``keep`` or one of
     them is longer than KEEP_CHARS; this changes speed only, never ids.
     """
 
@@ -49,19 +52,51 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.waiting: list[str] = []
-        self.words, self.exact = _Known(self.waiting, " "), _Known(self.waiting, "")
-        self.done, self.ids, self.ends = 0, np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.words, self.exact = _Known(self, " "), _Known(self, "")
+        self.waiting: list[str] = []  # whole pieces that aren't encoded yet
+        self.simple = 0  # whole pieces so far
+        self.made: list[int] = []  # whole pieces of each piece, in a row
+        self.made_ends = [0]
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.made_array, self.made_ends_array = np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def take(self, known: _Known, piece: str) -> int:
+        parts: list[int] = []
+        if m := _TAIL.fullmatch(piece):
+            parts = [known[m[1]], self.exact[m[2]]]
+        elif "\n" in piece and _LINES.fullmatch(piece):
+            first, *rest = piece.split("\n")
+            parts = [known[first]]
+            for line in rest:
+                parts += (self.exact["\n"], self.exact[line])
+        if parts:
+            for p in parts:
+                self.made += self.made[self.made_ends[p] : self.made_ends[p + 1]]
+        else:
+            self.waiting.append(known.prefix + piece)
+            self.made.append(self.simple)
+            self.simple += 1
+        self.made_ends.append(len(self.made))
+        return len(self.made_ends) - 2
+
+    @staticmethod
+    def _gather(values: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of the runs numbered ``at`` in a row, and where each ends."""
+        starts = ends[at]
+        upto = np.cumsum(ends[at + 1] - starts)
+        if not len(upto) or not upto[-1]:
+            return values[:0], upto
+        counts = np.diff(upto, prepend=0)
+        return values[np.repeat(starts - upto + counts, counts) + np.arange(upto[-1])], upto
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as unsigned 32-bit integers."""
-        if self.done > self.keep:
+        if len(self.made_ends) > self.keep:
             self._forget()
         word, exact = self.words.__getitem__, self.exact.__getitem__
         at: list[int] = []
-        sizes = []
+        upto = []
         for t in texts:
-            before = len(at)
             if " " in t and _ODD.search(t):
                 at.extend(exact(p) for p in _CUT.split(t) if p)
             elif t:
@@ -69,20 +104,17 @@ class PieceEncoder:
                 if first:
                     at.append(exact(first))
                 at.extend(map(word, rest))
-            sizes.append(len(at) - before)
-        new = self.waiting[self.done :]
+            upto.append(len(at))
+        new, self.waiting = self.waiting, []
         if new:
             ids, counts = self.encode_pieces(new)
             self.ids = np.concatenate([self.ids, ids])
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
-            self.waiting[self.done :] = [""] * len(new)
-            self.done = len(self.waiting)
-        pos = np.array(at, np.int64)
-        starts, counts = self.ends[pos], self.ends[pos + 1] - self.ends[pos]
-        upto = np.cumsum(counts)
-        total = int(upto[-1]) if len(upto) else 0
-        out = self.ids[np.repeat(starts - upto + counts, counts) + np.arange(total)] if total else np.zeros(0, np.uint32)
-        cut = np.concatenate([[0], upto])[np.cumsum(sizes)] if sizes else []
+        self.made_array = np.concatenate([self.made_array, np.array(self.made[len(self.made_array) :], np.int64)])
+        self.made_ends_array = np.concatenate([self.made_ends_array, np.array(self.made_ends[len(self.made_ends_array) :], np.int64)])
+        whole, whole_upto = self._gather(self.made_array, self.made_ends_array, np.array(at, np.int64))
+        out, ids_upto = self._gather(self.ids, self.ends, whole)
+        cut = np.r_[0, ids_upto][np.r_[0, whole_upto][upto]] if upto else np.zeros(0, np.int64)
         if new and max(map(len, new)) > KEEP_CHARS:
             self._forget()
         return np.split(out, cut[:-1]) if len(cut) else []
