@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.order import running_total
 from factloom.llm.tokens import small
-from factloom.session import cut, prepare
+from factloom.session import prepare
 
 #: A pair whose body lines are common to a greater part are copies, not two pages of one template.
 COPIES = 0.5
@@ -156,7 +156,7 @@ def common(a: list[int], b: list[int]) -> set[int]:
 
 
 def _hashes(rows: list[tuple[str, int]]) -> list[int]:
-    return [xxhash.xxh64_intdigest(t.encode(errors="replace")) >> 1 for t, _ in rows]
+    return [xxhash.xxh32_intdigest(t.encode(errors="replace")) - (1 << 31) for t, _ in rows]
 
 
 def main_text(page: str | None, neighbours: list[list[int]]) -> str:
@@ -179,17 +179,16 @@ def _neighbours(pages: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
             found = [_hashes(lines(p)) for p in b.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("host"), b.column("path"), pa.array(found, pa.list_(pa.int64()))], names=["page_id", "host", "path", "found"])
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("host"), b.column("path"), pa.array(found, pa.list_(pa.int32()))], names=["page_id", "host", "path", "found"])
 
     url = F.coalesce(F.col("url"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"), "html").mapInArrow(read, "page_id long, host string, path string, found array<long>")
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"), "html").mapInArrow(read, "page_id long, host string, path string, found array<int>")
     # one page stands for each path of a host, so that neighbours are of other paths
     each = rows.filter("page_id is not null")
     first = each.groupBy("host", "path").agg(F.min_by("found", "page_id").alias("found"))
     ranked, _ = running_total(first, ["host", "path"], None, "rank")
-    ranked = cut(ranked)
     side = lambda by, name: ranked.select((F.col("rank") + by).alias("rank"), F.struct("host", "path", "found").alias(name))
     near = ranked.select("rank", "host", "path").join(side(1, "before"), "rank", "left").join(side(-1, "after"), "rank", "left")
 
