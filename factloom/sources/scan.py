@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.session import prepare
+
 #: Fixed value: larger files are skipped.
 MOST_BYTES = 5 * 1024 * 1024
 # Language of each ending.
@@ -66,15 +70,47 @@ def file_kind(path: Column, lang: Column) -> Column:
     return F.when(is_test_path(path, lang), "test").when(lang == "markdown", "docs").when(infra, "infra").when(lang.isin(*CONFIG_LANGUAGES), "config").otherwise("source")
 
 
+def _hidden_files(spark: SparkSession, root: str) -> DataFrame:
+    """path, content, length of files that Spark's readers pass over: a name on their path begins with '_' or '.'.
+
+    The listing is of such names alone; contents are read by the workers through the file system of the path.
+    """
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base, found = fs.makeQualified(top).toString().rstrip("/"), []
+    every = fs.listFiles(top, True)
+    while every.hasNext():
+        f = every.next()
+        path = f.getPath().toString()
+        rest = path[len(base) + 1 :]
+        if re.search(r"(^|/)[._]", rest) and "/.git/" not in f"/{rest}" and f.getLen() <= MOST_BYTES:
+            found.append((path,))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as store
+
+        for b in batches:
+            paths, contents = b.column("path").to_pylist(), []
+            for p in paths:
+                own, name = store.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", p))
+                with own.open_input_stream(name) as f:
+                    contents.append(f.read())
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary()), pa.array([len(c) for c in contents], pa.int64())], names=["path", "content", "length"])
+
+    return spark.createDataFrame(found, "path string").mapInArrow(read, "path string, content binary, length long")
+
+
 def scan_repo(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
-    """path, digest, language, kind, size, content of every file below the root that is indexed.
+    """path, digest, language, kind, size, content of every file below the root that is indexed, dotfiles included.
 
-    Spark lists the files; a symbolic link out of the root isn't followed by its
-    readers. SHA-256 stands for the content hash.
+    A symbolic link out of the root isn't followed by the readers. SHA-256 stands for
+    the content hash.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    top = root.rstrip("/")
-    rel = F.regexp_replace(F.regexp_replace("path", r"^file:(//)?(?=/)", ""), "^" + re.escape(re.sub(r"^file:(//)?(?=/)", "", top)) + "/", "")
+    prepare(spark)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content", "length").unionByName(_hidden_files(spark, root))
+    top = re.sub(r"^file:(//)?(?=/)", "", root.rstrip("/"))
+    rel = F.regexp_replace(F.regexp_replace("path", r"^file:(//)?(?=/)", ""), "^" + re.escape(top) + "/", "")
     rows = files.filter(F.col("length") <= MOST_BYTES).select(rel.alias("path"), "content", F.col("length").alias("size"))
     rows = rows.filter(~is_ignored(F.col("path"), ignore or [])).withColumn("language", language(F.col("path"))).filter("language is not null")
     return rows.select("path", F.sha2("content", 256).alias("digest"), "language", file_kind(F.col("path"), F.col("language")).alias("kind"), "size", F.decode("content", "UTF-8").alias("content"))
