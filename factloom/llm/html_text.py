@@ -186,8 +186,7 @@ def _neighbours(pages: DataFrame) -> DataFrame:
     path = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), "html").mapInArrow(read, "page_id long, host string, path string, found array<int>")
     # one page stands for each path of a host, so that neighbours are of other paths
-    each = rows.filter("page_id is not null")
-    first = each.groupBy("host", "path").agg(F.min_by("found", "page_id").alias("found"))
+    first = rows.groupBy("host", "path").agg(F.min_by("found", F.struct("page_id")).alias("found"))
     ranked, _ = running_total(first, ["host", "path"], None, "rank")
     side = lambda by, name: ranked.select((F.col("rank") + by).alias("rank"), F.struct("host", "path", "found").alias(name))
     near = ranked.select("rank", "host", "path").join(side(1, "before"), "rank", "left").join(side(-1, "after"), "rank", "left")
@@ -206,8 +205,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row.
 
     A null or empty html gives an empty text. A null url, or one without a host,
-    belongs to the host '' . Rows of null page_id are extracted but are no one's
-    neighbour. Pages of one host and path share their neighbours; repeated rows
+    belongs to the host '' . A null page_id stays null. Pages of one host and path share their neighbours; repeated rows
     stay. An empty table gives no rows; other columns aren't read.
     """
     prepare(pages.sparkSession)
