@@ -79,7 +79,7 @@ class LibraryEncoder:
     #: Pieces in one call; each begins at a token with a space.
     ROW = 200
     #: Pieces that a worker remembers.
-    KEEP = 800_000
+    KEEP = 300_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
