@@ -111,7 +111,7 @@ def pagerank(links: DataFrame, nodes: DataFrame, seeds: DataFrame | None = None,
 
     seeds (id, share): teleport shares, uniform if None. start (id, rank): the
     first vector, else the teleport shares. What nodes without links hold is dealt
-    evenly. Every tenth round ends in a checkpoint.
+    evenly. Checkpoints cut the lineage.
     """
     n = nodes.count()
     if not n:
@@ -120,15 +120,19 @@ def pagerank(links: DataFrame, nodes: DataFrame, seeds: DataFrame | None = None,
     ends = links.select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(1))
     base = cut(base.join(ends, "id", "left"))
     links = cut(links)
+    loose = base.filter("out is null").select("id")
+    lossy = not loose.isEmpty()
     rank = base.select("id", F.col("t").alias("rank"))
     if start is not None:
         rank = base.select("id").join(start.select("id", "rank"), "id", "left").select("id", F.coalesce("rank", F.lit(0.0)).alias("rank"))
     for i in range(rounds):
         given = links.join(rank, links["src"] == rank["id"]).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("rank") * F.col("weight")).alias("got"))
-        lost = rank.join(base.filter("out is null").select("id"), "id", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        new = base.join(given, base["id"] == given["to"], "left").join(F.broadcast(lost))
-        rank = new.select("id", ((1 - damping) * F.col("t") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        if i % 5 == 4:
+        new, lost = base.join(given, base["id"] == given["to"], "left"), F.lit(0.0)
+        if lossy:
+            new = new.join(F.broadcast(rank.join(loose, "id", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))))
+            lost = F.col("lost")
+        rank = new.select("id", ((1 - damping) * F.col("t") + damping * (F.coalesce("got", F.lit(0.0)) + lost / n)).alias("rank"))
+        if lossy or i % 10 == 9:  # a round that reads the ranks twice is cut at once, or plans would double
             rank = cut(rank)
     return rank
 
