@@ -77,9 +77,9 @@ class LibraryEncoder:
     """
 
     #: Pieces in one call; each begins at a token with a space.
-    ROW = 200
+    ROW = 100
     #: Pieces that a worker remembers.
-    KEEP = 300_000
+    KEEP = 600_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
