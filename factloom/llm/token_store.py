@@ -34,21 +34,23 @@ WINDOW = 16
 _ROWS = "kind string, spread long, doc_id long, n_tokens long, digests array<binary>, lengths array<int>, root binary, digest binary, payload binary"
 
 
-def _gear(ids: np.ndarray) -> np.ndarray:
-    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(29)
-    return x * np.uint64(0xBF58476D1CE4E5B9)
+def _gear() -> np.ndarray:
+    """A fixed random number for each id, by its lowest 17 bits."""
+    return np.random.default_rng(17).integers(0, 1 << 32, 1 << 17, np.uint32)
+
+
+_GEAR = _gear()
 
 
 def borders(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of one stream; the last is its length."""
-    h = _gear(ids)
+    h = _GEAR[ids & 0x1FFFF]
     step = 1
     while step < WINDOW:  # after each step h covers twice as many ids
-        h[step:] = h[step:] + (h[:-step] << np.uint64(step))
+        h[step:] = h[step:] + (h[:-step] << np.uint32(step))
         step *= 2
     ends, last = [], 0
-    for e in (np.flatnonzero((h >> np.uint64(40)) & np.uint64(MASK) == 0) + 1).tolist():
+    for e in (np.flatnonzero((h >> np.uint32(20)) & np.uint32(MASK) == 0) + 1).tolist():
         while e - last > MOST:
             last += MOST
             ends.append(last)
@@ -79,7 +81,7 @@ class LibraryEncoder:
     #: Pieces in one call; each begins at a token with a space.
     ROW = 100
     #: Pieces that a worker remembers.
-    KEEP = 600_000
+    KEEP = 900_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -97,7 +99,7 @@ class LibraryEncoder:
 
     def _encode_new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Words go to the library in long rows; their ids part at the tokens that begin with a space."""
-        plain = np.array([p[0] == " " and p.count(" ") == 1 and p[1:2].isprintable() for p in pieces])
+        plain = np.array([p[0] == " " and p.find(" ", 1) < 0 and len(p) > 1 for p in pieces])
         words = [p for p, x in zip(pieces, plain, strict=True) if x]
         ids: list[np.ndarray] = []
         counts = np.zeros(len(pieces), np.int64)
@@ -143,7 +145,7 @@ def _chunk_rows(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        encoder, press, met = library_encoder(tokenizer), zstandard.ZstdCompressor(3), set()
+        encoder, press, met = library_encoder(tokenizer), zstandard.ZstdCompressor(1), set()
         schema = pa.schema([("kind", pa.string()), ("spread", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int32())), ("root", pa.binary()), ("digest", pa.binary()), ("payload", pa.binary())])
         for b in small(batches):
             ids_of, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]

@@ -17,12 +17,20 @@ import regex
 
 #: A space that white space or the end of the text follows: text can't be cut there.
 _ODD = re.compile(r" \s| \Z")
+_ODD_ASCII = [f" {c}" for c in map(chr, range(128)) if c.isspace()]
 _CUT = regex.compile(r"(?= \S)", regex.V1)
 #: Longest piece in characters, and most pieces, that a worker remembers.
 KEEP_CHARS = 1000
 KEEP_PIECES = 200_000
 
 
+def is_odd(text: str) -> bool:
+    """Whether white space or the end follows a space."""
+    if text.isascii():
+        return text.endswith(" ") or any(s in text for s in _ODD_ASCII)
+    return _ODD.search(text) is not None
+
+
 class _Known(dict):
     """Position of each piece; a piece that is met for the first time waits to be encoded."""
 
@@ -58,18 +66,18 @@ class PieceEncoder:
         if self.done > self.keep:
             self._forget()
         word, exact = self.words.__getitem__, self.exact.__getitem__
-        at: list[int] = []
+        parts = [np.zeros(0, np.int64)]
         sizes = []
         for t in texts:
-            before = len(at)
-            if " " in t and _ODD.search(t):
-                at.extend(exact(p) for p in _CUT.split(t) if p)
+            before = len(parts)
+            if is_odd(t):
+                parts.append(np.array([exact(p) for p in _CUT.split(t) if p], np.int64))
             elif t:
                 first, *rest = t.split(" ")
                 if first:
-                    at.append(exact(first))
-                at.extend(map(word, rest))
-            sizes.append(len(at) - before)
+                    parts.append(np.array([exact(first)], np.int64))
+                parts.append(np.fromiter(map(word, rest), np.int64, len(rest)))
+            sizes.append(sum(map(len, parts[before:])))
         new = self.waiting[self.done :]
         if new:
             ids, counts = self.encode_pieces(new)
@@ -77,7 +85,7 @@ class PieceEncoder:
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
             self.waiting[self.done :] = [""] * len(new)
             self.done = len(self.waiting)
-        pos = np.array(at, np.int64)
+        pos = np.concatenate(parts)
         starts, counts = self.ends[pos], self.ends[pos + 1] - self.ends[pos]
         upto = np.cumsum(counts)
         total = int(upto[-1]) if len(upto) else 0
