@@ -34,8 +34,8 @@ def windowed(rows: DataFrame, time: str, late: str = "10 minutes", length: str =
     return rows.withWatermark(time, late).groupBy(F.window(time, length).alias("w"), by).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), by, "n", "total")
 
 
-def stream_paths(spans: DataFrame, idle: str = "1 minute"):
-    """(trace, signature, ms, errors) of traces once they have been idle; spans (trace, span, parent, service, latency_ms, error, ts).
+def stream_paths(spans: DataFrame, idle_ms: int = 60_000):
+    """(trace, signature, ms, errors) of traces once they have been idle for ``idle_ms``; spans (trace, span, parent, service, latency_ms, error, ts).
 
     A trace's spans are its state; more than 64 for each path that may be kept and the trace is dropped, as its paths would be.
     """
@@ -51,7 +51,7 @@ def stream_paths(spans: DataFrame, idle: str = "1 minute"):
         for pdf in pdfs:
             held += [tuple(r) for r in pdf[["span", "parent", "service", "latency_ms", "error"]].astype(object).where(pdf.notna(), None).to_numpy().tolist()]
         state.update((held[: most + 1],))
-        state.setTimeoutDuration(idle)
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(columns=["trace", "signature", "ms", "errors"])
 
     schema = "spans array<struct<span:string,parent:string,service:string,latency_ms:double,error:boolean>>"

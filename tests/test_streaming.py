@@ -26,7 +26,7 @@ def test_state_gives_the_paths_of_the_batch(spark, tmp_path):
     schema = "trace string, span string, parent string, service string, latency_ms double, error boolean"
     spark.createDataFrame(spans, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    q = traces.stream_paths(stream, "1 second").writeStream.format("memory").queryName("paths").outputMode("append").trigger(processingTime="1 second").start()
+    q = traces.stream_paths(stream, 1000).writeStream.format("memory").queryName("paths").outputMode("append").trigger(processingTime="1 second").start()
     for _ in range(60):
         q.awaitTermination(1)
         if spark.sql("select * from paths").count():
