@@ -237,6 +237,45 @@ def test_edit_distance(a, b):
     assert substrings.edit_distance(np.array(a, int), np.array(b, int)) == row[-1]
 
 
+def edited(words, share, rnd):
+    """Words of which a share is changed, deleted or given a new word before them."""
+    out = []
+    for w in words:
+        kind = rnd.randrange(3) if rnd.random() < share else 3
+        out += [[f"x{rnd.random()}"], [], [f"x{rnd.random()}", w], [w]][kind]
+    return out
+
+
+def fresh(n, rnd):
+    return [f"w{rnd.getrandbits(60)}" for _ in range(n)]
+
+
+def covered(spark, rows):
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    out: dict = {}
+    for r in substrings.repeated_passages(df).collect():
+        out.setdefault(r["doc_id"], set()).update(range(r["first_word"], r["end_word"]))
+    return out
+
+
+def test_passages_with_up_to_a_fifth_of_edits(spark):
+    rnd = random.Random(11)
+    rows, want = [], {}
+    for i, (n, share) in enumerate((n, s) for n in (60, 100, 200) for s in (0.05, 0.1, 0.15, 0.2) for _ in range(8)):
+        shared = fresh(n, rnd)
+        own = edited(shared, share, rnd)
+        rows += [(2 * i, fresh(40, rnd) + shared + fresh(30, rnd)), (2 * i + 1, fresh(90, rnd) + own + fresh(50, rnd))]
+        number = {w: k for k, w in enumerate(dict.fromkeys(shared + own))}
+        if len(own) >= 50 and substrings.edit_distance(np.array([number[w] for w in own]), np.array([number[w] for w in shared])) <= 0.2 * len(own):
+            want[2 * i + 1] = len(own)
+    shared = fresh(60, rnd)
+    rows += [(900, shared), (901, ["changed" if k % 10 == 9 else w for k, w in enumerate(shared)])]
+    want[901] = 59
+    got = covered(spark, rows)
+    assert len(want) > 70 and set(want) <= set(got) and all(i % 2 for i in got)
+    assert sum(len(got[i]) for i in want) >= 0.95 * sum(want.values())
+
+
 # 7 token store
 
 
