@@ -276,6 +276,13 @@ def test_passages_with_up_to_a_fifth_of_edits(spark):
     assert sum(len(got[i]) for i in want) >= 0.95 * sum(want.values())
 
 
+def test_a_passage_whose_seeds_lie_in_several_documents(spark):
+    rnd = random.Random(12)
+    shared = fresh(60, rnd)
+    rows = [(1, shared[:30] + fresh(30, rnd)), (2, fresh(30, rnd) + shared[30:]), (3, fresh(20, rnd) + shared), (4, fresh(10, rnd) + shared[:30] + ["new"] + shared[30:])]
+    assert covered(spark, rows)[4] == set(range(10, 71))
+
+
 # 7 token store
 
 
