@@ -283,6 +283,27 @@ def test_a_passage_whose_seeds_lie_in_several_documents(spark):
     assert covered(spark, rows)[4] == set(range(10, 71))
 
 
+def test_passages_around_sparse_seeds(spark):
+    rnd = random.Random(13)
+    long, short = fresh(400, rnd), fresh(60, rnd)
+    inserted = short[:15] + ["a1"] + short[15:30] + ["a2"] + short[30:45] + ["a3"] + short[45:]
+    rows = [(1, long), (2, long[:100] + [w for k, w in enumerate(long[100:]) if k % 7]), (3, short), (4, inserted)]
+    got = covered(spark, rows)
+    assert len(got[2]) >= 350 and len(got[4]) == 63
+
+
+def test_a_far_anchor_does_not_hide_a_near_one():
+    parts = [(0, 0, 200), (300, 300, 30), (331, 331, 30)]
+    assert substrings.chains(parts) == [[(0, 0, 200)], [(300, 300, 30), (331, 331, 30)]]
+    # the best chain ends out of reach; the second best is taken
+    parts = [(0, 0, 400), (420, 900, 20), (441, 421, 20)]
+    assert [(420, 900, 20)] in substrings.chains(parts) and [(0, 0, 400), (441, 421, 20)] in substrings.chains(parts)
+    parts = [(0, 0, 400), (450, 420, 10), (470, 440, 30)]
+    assert substrings.chains(parts) == [parts]
+    parts = [(0, 0, 400), (440, 500, 20), (465, 525, 20)]
+    assert [(440, 500, 20), (465, 525, 20)] in substrings.chains(parts)
+
+
 # 7 token store
 
 
