@@ -3,9 +3,8 @@
 Each page is cut into lines, its blocks. Within a host, pages stand in the order
 of their URL paths; a page is paired with the neighbours of other paths, the
 nearer first, their lines are aligned by a longest common subsequence, and
-lines that both have are template and go. Markup says what differencing can't
-see: elements that never hold main text are left out, and lines of an article
-element are kept, as mirrors of an article share all of them.
+lines that both have are template and go, unless the two pages are copies. Markup says
+what differencing can't see: elements that never hold main text are left out.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ from factloom.llm.order import running_total
 from factloom.llm.tokens import small
 from factloom.session import prepare
 
-#: A pair whose body lines are common to a greater part are copies, not two pages of one template.
+#: A pair whose lines are common to a greater part are copies, not two pages of one template.
 COPIES = 0.5
 
 _BLOCKS = frozenset(
@@ -159,18 +158,20 @@ def _hashes(rows: list[tuple[str, int]]) -> list[int]:
     return [xxhash.xxh32_intdigest(t.encode(errors="replace")) - (1 << 31) for t, _ in rows]
 
 
+def template(own: list[int], neighbours: list[list[int]]) -> set[int]:
+    """Positions of the lines that a page shares with a neighbour that isn't its copy."""
+    pairs = [common(own, other) for other in neighbours]
+    return set().union(*(both for both in pairs if len(both) <= COPIES * max(1, len(own))))
+
+
 def main_text(page: str | None, neighbours: list[list[int]]) -> str:
     """Main text of a page, given the hashed lines of the pages nearest to it."""
     rows = lines(page)
-    own, shared = _hashes(rows), set()
-    body = [i for i, (_, zone) in enumerate(rows) if zone == BODY]
-    for other in neighbours:
-        both = common(own, other)
-        if len(both) <= COPIES * max(1, len(rows)):
-            shared |= both
-    has_article = len(body) < len(rows)
-    keep = [t for i, (t, zone) in enumerate(rows) if zone == ARTICLE or not has_article and i not in shared]
-    return "\n".join(keep)
+    shared = template(_hashes(rows), neighbours)
+    article = {i for i, (_, zone) in enumerate(rows) if zone == ARTICLE}
+    if article <= shared:  # a copied article, whatever surrounds it
+        shared -= article
+    return "\n".join(t for i, (t, _) in enumerate(rows) if i not in shared)
 
 
 def _neighbours(pages: DataFrame) -> DataFrame:

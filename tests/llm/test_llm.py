@@ -482,6 +482,18 @@ def test_longest_common_subsequence(a, b):
     assert len(got) == n[-1][-1] and all(a[i] in rest for i in got)
 
 
+def numbers(texts):
+    return html_text._hashes([(t, 0) for t in texts])
+
+
+def test_an_article_is_differenced_too():
+    page = "<body><div>One teaser's site</div><article><p>Share this</p><p>{0} teaser.</p></article><div>{0} main.</div><div>{0} more.</div></body>"
+    others = [html_text._hashes(html_text.lines(page.format(x))) for x in "BC"]
+    assert html_text.main_text(page.format("A"), others) == "A teaser.\nA main.\nA more."
+    mirror = html_text._hashes(html_text.lines(page.format("A")))
+    assert html_text.main_text(page.format("A"), [mirror, others[0]]) == "A teaser.\nA main.\nA more."
+
+
 # pipeline
 
 
