@@ -23,8 +23,8 @@ from factloom.llm.order import running_total
 from factloom.llm.tokens import small
 from factloom.session import prepare
 
-#: A pair whose lines are common to a greater part are copies, not two pages of one template.
-COPIES = 0.5
+#: Two pages are copies if they share a greater part of the lines that the other neighbour doesn't share, and where there is no other neighbour.
+COPIES, COPIES_ALONE = 0.5, 0.9
 
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -159,9 +159,17 @@ def _hashes(rows: list[tuple[str, int]]) -> list[int]:
 
 
 def template(own: list[int], neighbours: list[list[int]]) -> set[int]:
-    """Positions of the lines that a page shares with a neighbour that isn't its copy."""
+    """Positions of the lines that a page shares with its neighbours and that aren't a copy of one of them.
+
+    What all neighbours share is template, however much it is, unless nothing else is left.
+    """
     pairs = [common(own, other) for other in neighbours]
-    return set().union(*(both for both in pairs if len(both) <= COPIES * max(1, len(own))))
+    everywhere = set.intersection(*pairs) if len(pairs) > 1 else set()
+    rest = len(own) - len(everywhere)
+    if not rest:
+        return set()
+    most = (COPIES if len(pairs) > 1 else COPIES_ALONE) * rest
+    return everywhere.union(*(both for both in pairs if len(both - everywhere) <= most))
 
 
 def main_text(page: str | None, neighbours: list[list[int]]) -> str:

@@ -494,6 +494,16 @@ def test_an_article_is_differenced_too():
     assert html_text.main_text(page.format("A"), [mirror, others[0]]) == "A teaser.\nA main.\nA more."
 
 
+def test_a_template_longer_than_its_content_goes():
+    frame = [f"Template {i}" for i in range(6)]
+    page = lambda a: "".join(f"<div>{t}</div>" for t in [*frame[:3], f"{a} 1.", f"{a} 2.", f"{a} 3.", *frame[3:]])
+    own = lambda a: numbers([*frame[:3], f"{a} 1.", f"{a} 2.", f"{a} 3.", *frame[3:]])
+    for others in ([own("B")], [own("B"), own("C")], [own("A"), own("B")]):
+        assert html_text.main_text(page("A"), others) == "A 1.\nA 2.\nA 3."
+    whole = html_text.main_text(page("A"), [])
+    assert html_text.main_text(page("A"), [own("A")]) == html_text.main_text(page("A"), [own("A"), own("A")]) == whole  # nothing tells copies alone from a template
+
+
 # pipeline
 
 
