@@ -292,6 +292,13 @@ def test_passages_around_sparse_seeds(spark):
     assert len(got[2]) >= 350 and len(got[4]) == 63
 
 
+def test_a_gap_of_many_edits_within_a_passage(spark):
+    rnd = random.Random(14)
+    shared = fresh(75, rnd)
+    rows = [(1, shared), (2, shared[:30] + fresh(15, rnd) + shared[45:])]
+    assert covered(spark, rows) == {2: set(range(75))}
+
+
 def test_a_far_anchor_does_not_hide_a_near_one():
     parts = [(0, 0, 200), (300, 300, 30), (331, 331, 30)]
     assert substrings.chains(parts) == [[(0, 0, 200)], [(300, 300, 30), (331, 331, 30)]]
