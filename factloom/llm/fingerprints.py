@@ -1,13 +1,13 @@
 r"""Document fingerprints: Merkle trees over sections, paragraphs and phrases, with SQL functions alone.
 
-A text's paragraphs are its lines; a section ends after a paragraph whose digest
-begins with 0 or 1, so an edit moves no border but its own. A section's digest
-is taken over its paragraphs', the root over the sections'. Roots tell whether
+A text's paragraphs are its lines, its leaves the phrases of the lines: runs of words
+up to one that ends in certain letters. A section ends after a paragraph whose digest
+begins with 0 or 1, so an edit moves no border but its own. A paragraph's digest is taken
+over its leaves', a section's over its paragraphs', the root over the sections'. Roots tell whether
 texts are equal; the first and last branches that differ locate an edit.
 
-The fingerprint is the root and the ``SKETCH`` least phrase digests below the
-paragraphs, so its size is bounded and likeness can be read from two
-fingerprints. A phrase is a run of words up to one that ends in certain letters.
+The fingerprint is the root and the leaves' digests in order, about a tenth of the
+text; likeness is the share of leaves that two trees have in common.
 """
 
 from __future__ import annotations
@@ -15,69 +15,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.llm.order import ordered
 from factloom.session import cut, prepare, shuffle_partitions
 
-#: Phrase digests in a fingerprint, and hexadecimal digits of a phrase's and of a paragraph's digest.
-SKETCH, PHRASE_HEX, NODE_HEX = 64, 8, 16
-#: Words of a phrase but the last don't end in these letters or marks; four words at most.
-_PHRASE = r"(?:[^ \n]*[^ \nestndr.!?] ){0,3}[^ \n]*[ \n]?"
+#: Hexadecimal digits of a leaf in a fingerprint, and of any node in the tree.
+LEAF_HEX, NODE_HEX = 6, 16
+#: Words of a phrase but the last don't end in these letters or marks; sixteen words at most.
+_PHRASE = r"(?:[^ ]*[^ ghkmowyz.!?] ){0,15}[^ ]*[ ]?"
 _SECTION = rf"(?:[2-9a-f][0-9a-f]{{{NODE_HEX - 1}}}){{0,63}}[0-9a-f]{{{NODE_HEX}}}"
-#: Documents in a run of neighbours (about).
-RUN = 4096
+_MID, _SHIFT = "__mid", 33
 
 
-def _digest(text: Column, digits: int) -> Column:
-    return F.substring(F.md5(text), 1, digits)
+def _digest(text: Column) -> Column:
+    return F.substring(F.md5(text), 1, NODE_HEX)
 
 
 def tree(text: Column) -> Column:
-    """Struct of root, sections (digests), paragraphs (digests) and sketch of a text that isn't null."""
-    paragraphs = F.transform(F.split(text, "\n"), lambda p: _digest(p, NODE_HEX))
-    phrases = F.filter(F.regexp_extract_all(text, F.lit(_PHRASE), F.lit(0)), lambda p: p != "")
-    sketch = F.slice(F.array_sort(F.array_distinct(F.transform(phrases, lambda p: _digest(p, PHRASE_HEX)))), 1, SKETCH)
-    return F.struct(paragraphs.alias("paragraphs"), sketch.alias("sketch"))
+    """Digests of the leaves of each paragraph of a text that isn't null."""
+    leaves = lambda p: F.transform(F.filter(F.regexp_extract_all(p, F.lit(_PHRASE), F.lit(0)), lambda x: x != ""), _digest)
+    return F.transform(F.split(text, "\n"), leaves)
 
 
 def _finish(df: DataFrame, node: str, name: str) -> DataFrame:
     """Replace the column ``node`` by paragraphs, sections and fingerprint columns named after ``name``."""
-    joined = F.array_join(F.col(node)["paragraphs"], "")
-    df = df.withColumn(f"{name}_sections", F.transform(F.regexp_extract_all(joined, F.lit(_SECTION), F.lit(0)), lambda s: _digest(s, NODE_HEX)))
+    df = df.withColumn(f"{name}_paragraphs", F.transform(F.col(node), lambda p: _digest(F.array_join(p, ""))))
+    joined = F.array_join(f"{name}_paragraphs", "")
+    df = df.withColumn(f"{name}_sections", F.transform(F.regexp_extract_all(joined, F.lit(_SECTION), F.lit(0)), _digest))
     root = F.sha2(F.array_join(f"{name}_sections", ""), 256)
-    return df.withColumn(name, F.concat_ws(":", root, F.array_join(F.col(node)["sketch"], "")))
+    return df.withColumn(name, F.concat_ws(":", root, F.array_join(F.transform(F.flatten(node), lambda x: F.substring(x, 1, LEAF_HEX)), "")))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Likeness of two fingerprints, 0 to 1: 1 for equal roots, else below 1, by the share of common phrases.
-
-    The least digests of both sketches together are a sample of all phrases; j
-    being the share of it that both have, 2j / (1 + j) is their common part.
-    """
+    """Likeness of two fingerprints, 0 to 1: 1 for equal roots, else below 1, the common part of the distinct leaves of both."""
     root = lambda x: F.substring(x, 1, 64)
-    sketch = lambda x: F.regexp_extract_all(F.substring(x, 66, SKETCH * PHRASE_HEX), F.lit(f".{{{PHRASE_HEX}}}"), F.lit(0))
-    sample = F.slice(F.array_sort(F.array_union(sketch(a), sketch(b))), 1, SKETCH)
-    both = F.size(F.array_intersect(sample, F.array_intersect(sketch(a), sketch(b)))).cast("double")
-    j = both / F.greatest(F.size(sample), F.lit(1))
-    return F.when(root(a) == root(b), F.lit(1.0)).otherwise(F.least(2 * j / (1 + j), F.lit(0.9999)))
+    leaves = lambda x: F.array_distinct(F.regexp_extract_all(F.substr(x, F.lit(66)), F.lit(f".{{{LEAF_HEX}}}"), F.lit(0)))
+    both, every = F.size(F.array_intersect(leaves(a), leaves(b))).cast("double"), F.size(leaves(a)) + F.size(leaves(b))
+    return F.when(root(a) == root(b), F.lit(1.0)).otherwise(F.least(2 * both / F.greatest(every, F.lit(1)), F.lit(0.9999)))
 
 
-def _next_ids(docs: DataFrame) -> DataFrame:
-    """(doc_id, next_id) of the distinct ids in descending order; after the last comes the first.
+def _next_ids(ids: DataFrame) -> DataFrame:
+    """(doc_id, next_id) of distinct ids in descending order; after the last comes the first.
 
-    Ids are cut into runs at quantiles, neighbours are found within a run, and
-    the run's last id takes the first of the following run.
+    The ids are range-partitioned and sorted; the next of a row is the one after it, the next
+    of a partition's last row the head of the following partition that has rows.
     """
-    ids = cut(docs.select("doc_id").filter("doc_id is not null").distinct())
-    n = ids.count()
-    cuts = sorted(set(ids.approxQuantile("doc_id", [i / (n // RUN + 1) for i in range(1, n // RUN + 1)], 1 / (4 * (n // RUN + 1))))) if n > RUN else []
-    bucket = F.expr(f"-size(filter(array({','.join(f'{int(c)}L' for c in cuts)}), c -> c < doc_id))") if cuts else F.lit(0)
-    runs = ids.withColumn("run", bucket)
-    heads = runs.groupBy("run").agg(F.max("doc_id").alias("head"))
-    every = sorted(((r["run"], r["head"]) for r in heads.collect()))  # one row a run
-    after = [(run, every[(i + 1) % len(every)][1]) for i, (run, _) in enumerate(every)]
-    spark = docs.sparkSession
-    following = spark.createDataFrame(after, "run int, following long") if after else spark.createDataFrame([], "run int, following long")
-    near = F.lead("doc_id").over(Window.partitionBy("run").orderBy(F.desc("doc_id")))
-    return runs.withColumn("near", near).join(F.broadcast(following), "run").select("doc_id", F.coalesce("near", "following").alias("next_id"))
+    src = ordered(ids, [F.desc("doc_id")]).withColumn("part", F.shiftright(_MID, _SHIFT))
+    every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = src.filter(F.col(_MID) == F.shiftleft("part", _SHIFT)).select("part", F.col("doc_id").alias("head"))  # one row a partition
+    following = heads.select("part", F.coalesce(F.lead("head").over(Window.orderBy("part")), F.first("head").over(every)).alias("following"))
+    near = src.select((F.col(_MID) - 1).alias(_MID), F.col("doc_id").alias("near"))
+    return src.join(near, _MID, "left").join(F.broadcast(following), "part").select("doc_id", F.coalesce("near", "following").alias("next_id"))
 
 
 def document_fingerprints(docs: DataFrame) -> DataFrame:
@@ -94,12 +81,12 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     """
     prepare(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    pairs = _next_ids(base)
-    sizes = base.groupBy("doc_id").agg(F.max(F.char_length("text")).alias("most"))
-    wanted = cut(pairs.join(sizes, "doc_id").select(F.col("next_id").alias("giver"), F.col("doc_id").alias("taker"), F.expr("most div 3").alias("take")))
+    sizes = cut(base.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.char_length("text")).alias("most"), F.count("*").alias("n")))
+    wanted = cut(_next_ids(sizes.select("doc_id")).join(sizes, "doc_id").select(F.col("next_id").alias("giver"), F.col("doc_id").alias("taker"), F.expr("most div 3").alias("take")))
     # both joins read one shuffle of the texts; every id has a giver, rows without an id none
     texts = base.filter("doc_id is not null").repartition(shuffle_partitions(docs.sparkSession), "doc_id")
-    lent = texts.join(wanted, F.col("doc_id") == F.col("giver"))
+    givers = texts if sizes.filter("n > 1").isEmpty() else texts.groupBy("doc_id").agg(F.min("text").alias("text"))
+    lent = givers.join(wanted, F.col("doc_id") == F.col("giver"))
     lent = lent.withColumn("node", tree(F.col("text")))
     lent = _finish(lent, "node", "next_fingerprint").select("taker", F.expr("substring(text, 1, take)").alias("prefix"), "next_fingerprint")
     own = texts.join(lent, F.col("doc_id") == F.col("taker"))
@@ -111,7 +98,7 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     edited = F.when(F.col("taker").isNull(), F.col("text")).otherwise(F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 3 as int))"), F.substring(F.coalesce("prefix", F.lit("")), F.lit(1), swap)))
     own = own.withColumn("edited", edited).withColumn("node", tree(F.col("text"))).withColumn("edited_node", tree(F.col("edited")))
     own = _finish(_finish(own, "node", "fingerprint"), "edited_node", "edited_fingerprint")
-    a, b = F.col("node")["paragraphs"], F.col("edited_node")["paragraphs"]
+    a, b = F.col("fingerprint_paragraphs"), F.col("edited_fingerprint_paragraphs")
     differ = lambda x, y: F.array_position(F.zip_with(x, y, lambda p, q: ~p.eqNullSafe(q)), True)
     first, last = differ(a, b), differ(F.reverse(a), F.reverse(b))
     same = F.substring("fingerprint", 1, 64) == F.substring("edited_fingerprint", 1, 64)
@@ -122,7 +109,7 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
         "fingerprint",
         "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        F.when(F.col("next_fingerprint").isNotNull(), likeness(F.col("fingerprint"), F.col("next_fingerprint"))).alias("near_next"),
         F.size("fingerprint_sections").cast("long").alias("n_sections"),
         F.size(a).cast("long").alias("n_paragraphs"),
         F.when(~same, first).alias("first_changed"),
@@ -131,24 +118,29 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def oracle_sql() -> str:
-    """The same rows without the columns that may follow."""
-    def fp(t: str) -> str:
-        paragraphs = f"list_transform(string_split({t}, chr(10)), lambda p: left(md5(p), {NODE_HEX}))"
-        sections = f"list_transform(regexp_extract_all(array_to_string({paragraphs}, ''), '{_SECTION}'), lambda s: left(md5(s), {NODE_HEX}))"
-        phrases = f"list_filter(regexp_extract_all({t}, '{_PHRASE}'), lambda p: p <> '')"
-        sketch = f"list_sort(list_distinct(list_transform({phrases}, lambda p: left(md5(p), {PHRASE_HEX}))))[1:{SKETCH}]"
-        return f"sha256(array_to_string({sections}, '')) || ':' || array_to_string({sketch}, '')"
+    """The same rows."""
+    def fp(t: str, of: str, source: str) -> str:
+        phrases = f"list_filter(regexp_extract_all(p, '{_PHRASE}'), lambda x: x <> '')"
+        nodes = f"list_transform(string_split({t}, chr(10)), lambda p: list_transform({phrases}, lambda x: left(md5(x), {NODE_HEX})))"
+        return f"""{of}1 AS (SELECT *, {nodes} AS nodes FROM {source}), {of}2 AS (SELECT *, list_transform(nodes, lambda p: left(md5(array_to_string(p, '')), {NODE_HEX})) AS {of}_p FROM {of}1),
+{of}3 AS (SELECT *, list_transform(regexp_extract_all(array_to_string({of}_p, ''), '{_SECTION}'), lambda s: left(md5(s), {NODE_HEX})) AS {of}_s FROM {of}2),
+{of} AS (SELECT * EXCLUDE (nodes), sha256(array_to_string({of}_s, '')) || ':' || array_to_string(list_transform(flatten(nodes), lambda x: left(x, {LEAF_HEX})), '') AS {of}_f FROM {of}3)"""
 
     def near(a: str, b: str) -> str:
-        sketch = lambda x: f"regexp_extract_all(substring({x}, 66), '.{{{PHRASE_HEX}}}')"
-        sample = f"list_sort(list_distinct(list_concat({sketch(a)}, {sketch(b)})))[1:{SKETCH}]"
-        j = f"(CAST(len(list_intersect({sample}, list_intersect({sketch(a)}, {sketch(b)}))) AS DOUBLE) / greatest(len({sample}), 1))"
-        return f"CASE WHEN left({a}, 64) = left({b}, 64) THEN 1.0::DOUBLE ELSE least(2 * {j} / (1 + {j}), 0.9999::DOUBLE) END"
+        leaves = lambda x: f"list_distinct(regexp_extract_all(substring({x}, 66), '.{{{LEAF_HEX}}}'))"
+        share = f"2.0::DOUBLE * len(list_intersect({leaves(a)}, {leaves(b)})) / greatest(len({leaves(a)}) + len({leaves(b)}), 1)"
+        return f"CASE WHEN left({a}, 64) = left({b}, 64) THEN 1.0::DOUBLE ELSE least({share}, 0.9999::DOUBLE) END"
 
+    differ = lambda a, b: f"list_position(list_transform(list_zip({a}, {b}), lambda x: x[1] IS DISTINCT FROM x[2]), true)"
+    changed = "left(own_f, 64) <> left(edit_f, 64)"
     return f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM documents),
-n AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS nxt FROM t),
-e AS (SELECT *, left(text, n_chars - n_chars // 3) || left(nxt, n_chars // 3) AS edited FROM n),
-f AS (SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, {fp('text')} AS fingerprint, {fp('edited')} AS edited_fingerprint, {fp('nxt')} AS nf FROM e)
-SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, {near('fingerprint', 'edited_fingerprint')} AS near_edited, {near('fingerprint', 'nf')} AS near_next FROM f
+g AS (SELECT doc_id, min(text) AS given FROM t WHERE doc_id IS NOT NULL GROUP BY 1),
+x AS (SELECT doc_id, coalesce(lead(given) OVER w, first_value(given) OVER w) AS nxt FROM g WINDOW w AS (ORDER BY doc_id DESC)),
+{fp('text', 'own', 't')}, {fp('nxt', 'nx', 'x')},
+e AS (SELECT own.*, nxt, nx_f, CASE WHEN nxt IS NULL THEN text ELSE left(text, n_chars - n_chars // 3) || left(nxt, n_chars // 3) END AS edited FROM own LEFT JOIN nx ON own.doc_id = nx.doc_id),
+{fp('edited', 'edit', 'e')}
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, own_f AS fingerprint, edit_f AS edited_fingerprint, {near('own_f', 'edit_f')} AS near_edited, CASE WHEN nx_f IS NOT NULL THEN {near('own_f', 'nx_f')} END AS near_next,
+  CAST(len(own_s) AS BIGINT) AS n_sections, CAST(len(own_p) AS BIGINT) AS n_paragraphs,
+  CASE WHEN {changed} THEN CAST({differ('own_p', 'edit_p')} AS BIGINT) END AS first_changed, CASE WHEN {changed} THEN CAST({differ('list_reverse(own_p)', 'list_reverse(edit_p)')} AS BIGINT) END AS last_changed_from_end FROM edit
 """

@@ -25,7 +25,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.fingerprints import document_fingerprints
 
-    return document_fingerprints(_table(spark, sf_dir, "documents")).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return document_fingerprints(_table(spark, sf_dir, "documents"))
 
 
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
