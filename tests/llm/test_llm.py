@@ -86,6 +86,20 @@ def test_fingerprints_equal_sql(spark, data):
     assert key(map(tuple, got.select(*want.columns).collect())) == key(want.fetchall())
 
 
+def test_rows_that_repeat_a_doc_id(spark, tmp_path):
+    rows = [(1, "one\ntwo three four five six"), (2, "b text of some words"), (2, "a text of other words, longer"), (3, "third of them all"), (3, "third of them all"), (None, "no id"), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got, want = queries.op2_merkle_fingerprints(spark, str(tmp_path)), con.sql(fingerprints.oracle_sql())
+    own = [tuple(r) for r in got.select(*want.columns).collect()]
+    assert len(own) == len(rows) and sorted(map(str, own)) == sorted(map(str, want.fetchall()))
+    edited = lambda text, nxt: hashlib.sha256((text[: len(text) - len(text) // 3] + nxt[: len(text) // 3]).encode()).hexdigest()
+    least, third = rows[2][1], rows[3][1]
+    assert [r["edited_sha256"] for r in got.collect() if r["doc_id"] == 3] == [edited(third, least)] * 2
+    assert {r["edited_sha256"] for r in got.collect() if r["doc_id"] == 2} == {edited(t, rows[0][1]) for _, t in rows[1:3]}
+
+
 def test_fingerprint_likeness_and_edges(docs, awkward, empty):
     rows = fingerprints.document_fingerprints(docs).filter("n_chars > 200").agg(F.avg("near_edited").alias("a"), F.avg("near_next").alias("b")).first()
     assert rows["a"] > 0.5 > 0.2 > rows["b"]
@@ -179,7 +193,8 @@ def test_contamination_equals_brute_force(spark, docs, awkward, empty, data, mon
     for df in (docs.select("doc_id", "text"), awkward):
         want = sorted(brute_contamination([(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()], pairs), key=str)
         assert sorted((tuple(r) for r in decontamination.contamination(df, more).select(*cols).collect()), key=str) == want
-        monkeypatch.setattr(decontamination, "MOST_PROBES", 0)  # the way beyond the bound gives the same
+        monkeypatch.setattr(decontamination, "MOST_BITS", 1 << 12)  # a map that most positions answer to, and a shuffled join, give the same
+        monkeypatch.setattr(decontamination, "MOST_BYTES", 0)
         assert sorted((tuple(r) for r in decontamination.contamination(df, more).select(*cols).collect()), key=str) == want
         monkeypatch.undo()
     assert decontamination.contamination(empty, more).count() == 0
@@ -187,6 +202,18 @@ def test_contamination_equals_brute_force(spark, docs, awkward, empty, data, mon
     assert decontamination.drop_contaminated(awkward, more).columns == awkward.columns
 
 
+def test_contaminated_rows_and_spans_go(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, f"before, {item} after.", 9), (1, "clean text of the same id", 9), (None, item, 9), (None, "clean", 9), (2, f"{item}, " + "long " * 900, 9), (2, f"{item}, " + "long " * 900, 9), (3, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    kept = sorted((tuple(r) for r in decontamination.drop_contaminated(df, items).collect()), key=str)
+    assert kept == sorted([r for r in rows if r[1] is None or "clean" in r[1] or "long" in r[1]], key=str)
+    cut = sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in decontamination.remove_hit_spans(df, items).collect()), key=str)
+    want = [(1, "before after.", 13), rows[1], (None, "", 0), rows[3], (2, ", " + "long " * 900, 4502), (2, ", " + "long " * 900, 4502), rows[6]]
+    assert cut == sorted(want, key=str)
+
+
 # 6 repeated passages
 
 
