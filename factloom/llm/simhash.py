@@ -11,7 +11,7 @@ spanning forest, never all its pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -50,14 +50,19 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (signed long) of every row."""
+    """doc_id, fp (signed long) and text_key (a digest of the text) of every row."""
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
             fps = np.array([fingerprint(t.as_py()) for t in b.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64)), b.column("text_key")], names=["doc_id", "fp", "text_key"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_key().alias("text_key")).mapInArrow(run, "doc_id long, fp long, text_key long")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+def _text_key():
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def _masks(blocks: int, radius: int) -> list[int]:
@@ -85,7 +90,7 @@ def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
 def _compare(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # groups may go on in the next batch
-        for b in [*batches, None]:
+        for b in chain(batches, [None]):
             if b is not None and b.num_rows:
                 held.append(np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("band", "key", "tiles", "fp")]))
             if not held:
@@ -116,6 +121,7 @@ def _compare(radius: int):
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (a, b) that connect all fingerprints ``fp`` within the radius; ``fp`` must be distinct."""
+    prepare(distinct.sparkSession)
     n = distinct.count()
     masks = _masks(next(b for most, b in BLOCKS if n <= most), radius)
     bands = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])).alias("x")
@@ -140,6 +146,13 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(_compare(radius), "a long, b long")
 
 
+def _rooted(fps: DataFrame, radius: int) -> DataFrame:
+    """fp, least (smallest doc_id that has it) and root (of the component) of the distinct fingerprints."""
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = connected_components(links(distinct, radius))
+    return cut(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+
+
 def simhash_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Fingerprint every whole text and link those at ``radius`` or fewer differing bits.
 
@@ -150,27 +163,27 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     becomes a component_id unless its component has no other. An empty table gives
     no rows; other columns aren't read.
     """
-    prepare(docs.sparkSession)
     fps = cut(fingerprints(docs))
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(links(distinct, radius))
-    rooted = cut(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    rooted = _rooted(fps, radius)
     comps = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = rooted.join(comps, "root").select(F.col("fp").alias("node"), "component_id")
     return fps.join(by_fp, fps.fp == by_fp.node).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """Keep one row of each component: the one of the smallest doc_id.
+    """Keep one row of each component: the one of the smallest doc_id, null last; of rows that repeat that id the one of the least text digest.
 
-    All columns stay as they are. Rows of null doc_id are kept, as nothing tells
-    them apart; of rows that repeat the kept doc_id one stays.
+    All columns stay as they are. Rows are told apart by id and text; of rows that agree
+    in both any one stays. An empty table gives no rows.
     """
-    found = cut(simhash_components(docs).select("doc_id", "component_id"))
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
-    own = docs.join(kept, docs["doc_id"].cast("long") == kept["__kept"], "left_semi")
-    if not kept.groupBy("__kept").count().filter("count > 1").isEmpty():
-        own = own.dropDuplicates(["doc_id"])
-    if found.filter("doc_id is null").isEmpty():
+    fps = cut(fingerprints(docs))
+    roots = _rooted(fps, RADIUS).select(F.col("fp").alias("node"), "root")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    # the first row of each fingerprint, then of each component
+    firsts = fps.groupBy("fp").agg(first).join(roots, F.col("fp") == F.col("node")).groupBy("root").agg(F.min("first").alias("first"))
+    kept = cut(firsts.select(F.col("first.doc_id").alias("__id"), F.col("first.text_key").alias("__key")))
+    own = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__id"]) & (_text_key() == kept["__key"]), "left_semi")
+    same = fps.groupBy("doc_id", "text_key").count().filter("count > 1")
+    if same.join(kept, same["doc_id"].eqNullSafe(kept["__id"]) & (same["text_key"] == kept["__key"]), "left_semi").isEmpty():
         return own
-    return own.unionByName(docs.filter("doc_id is null"))
+    return own.withColumn("__key", _text_key()).dropDuplicates(["doc_id", "__key"]).drop("__key")
