@@ -11,7 +11,7 @@ from factloom.llm.order import running_total
 from factloom.session import prepare
 
 #: Bits of each quantised dimension.
-BITS = 5
+BITS = 8
 #: Shards of the registered query.
 SHARDS = 24
 
@@ -52,46 +52,44 @@ def _hilbert(lang: pd.Series, source: pd.Series, size: pd.Series) -> pd.Series:
     return pd.Series(hilbert_index(np.column_stack([lang, source, size]), BITS))
 
 
+def _placed(docs: DataFrame, shards: int, keep: list[str]) -> DataFrame:
+    """The rows with the columns ``keep`` and, under names that begin with "__", shard, slot, curve index and cells."""
+    prepare(docs.sparkSession)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    cell = lambda c: (F.crc32(F.coalesce(F.col(c), F.lit("\0"))) % (1 << BITS)).cast("int")
+    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__size": (F.octet_length(text) + 8).cast("long"), "__crc": F.crc32(text), "__lang": cell("lang"), "__source": cell("source")})
+    rows = rows.select(*keep, "__id", "__size", "__crc", "__lang", "__source").withColumn("__cell", F.floor(BITS * F.log2(F.col("__size"))).cast("int"))
+    rows = rows.withColumn("__curve", F.pandas_udf(_hilbert, "long")("__lang", "__source", "__cell"))
+    ranked, n = running_total(rows, ["__curve", "__crc", "__id"], None, "__rank")
+    # integer arithmetic: the first rank of shard s is ceil(s * n / shards)
+    shard = F.expr(f"(__rank * {shards}L) div {max(n, 1)}L")
+    return ranked.withColumn("__shard", shard).withColumn("__slot", (F.col("__rank") - F.expr(f"(__shard * {n}L + {shards - 1}L) div {shards}L")).cast("long"))
+
+
 def hilbert_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Put every document in one of ``shards`` runs of the Hilbert order (law ``rows``).
 
-    Dimensions: language and source by a hash of 5 bits, size by twice its
-    binary logarithm, 5 bits. The order is (curve index, text checksum, doc_id), so equal texts
+    Dimensions: language and source by a hash of 8 bits (values that collide share a cell, which
+    prunes less but loses nothing), size by eight times its
+    binary logarithm, which 8 bits hold up to 4 GB. The order is (curve index, text checksum, doc_id), so equal texts
     of equal metadata stay side by side. Runs are cut by rank: the counts of two
     shards differ by one at most. Null text counts as empty, null lang or source
     as its own value, null doc_id sorts first; repeated rows are kept, each with
     a slot of its own; an empty table gives an empty result. Only the five named
     columns are read, so extra columns can't clash.
     """
-    prepare(docs.sparkSession)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    cell = lambda c: (F.crc32(F.coalesce(F.col(c), F.lit("\0"))) % (1 << BITS)).cast("int")
-    small = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.octet_length(text) + 8).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"),
-        cell("lang").alias("q_lang"),
-        cell("source").alias("q_source"),
-    )
-    small = small.withColumn("q_size", F.least(F.lit((1 << BITS) - 1), F.floor(2 * (F.log2(F.col("size")) - 3))).cast("int"))
-    small = small.withColumn("curve", F.pandas_udf(_hilbert, "long")("q_lang", "q_source", "q_size"))
-    ranked, n = running_total(small, ["curve", "text_crc32", "doc_id"], None, "rank")
-    # integer arithmetic: the first rank of shard s is ceil(s * n / shards)
-    shard = F.expr(f"(rank * {shards}L) div {max(n, 1)}L")
-    first = F.expr(f"(shard * {n}L + {shards - 1}L) div {shards}L")
-    return (
-        ranked.withColumn("shard", shard)
-        .withColumn("slot", (F.col("rank") - first).cast("long"))
-        .select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"), "curve", "q_lang", "q_source", "q_size")
-    )
+    out = _placed(docs, shards, [])
+    names = {"__id": "doc_id", "__size": "size", "__crc": "text_crc32", "law": "law", "__shard": "shard", "__slot": "slot", "grown": "grown_shard", "__curve": "curve", "__lang": "q_lang", "__source": "q_source", "__cell": "q_size"}
+    out = out.withColumns({"law": F.lit("rows"), "grown": F.lit(None).cast("int"), "__shard": F.col("__shard").cast("int")})
+    return out.select(*[F.col(c).alias(n) for c, n in names.items()])
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write documents as one folder per shard, rows in curve order, so that file statistics prune.
+    """Write all rows and columns as one folder per shard (``__shard``), in curve order, so that file statistics prune.
 
-    Rows are dealt by (shard, salt), so one shard isn't one task.
+    Rows carry their columns through the one range partitioning that ranks them, so each row lands in the shard
+    and at the slot (``__slot``) that ``hilbert_shards`` states, repeated rows too. A partition is a run
+    of the curve: a shard is written by all the tasks that hold a part of it.
     """
-    plan = hilbert_shards(docs, shards).select(F.col("doc_id").alias("__id"), "shard", "slot", "curve", "q_lang", "q_source", "q_size").dropDuplicates(["__id"])
-    clash = [c for c in ("shard", "slot", "curve", "q_lang", "q_source", "q_size") if c in docs.columns]
-    out = docs.drop(*clash).join(plan, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
-    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    out = _placed(docs, shards, docs.columns).withColumn("__shard", F.col("__shard").cast("int"))
+    out.select(*docs.columns, "__slot", "__shard").write.partitionBy("__shard").parquet(path)
