@@ -144,6 +144,27 @@ def test_shards(which, request):
     assert sorted((r["doc_id"] or -1, r["size"], r["text_crc32"]) for r in got) == sorted((w["doc_id"] or -1, len((w["text"] or "").encode()) + 8, crc(w["text"])) for w in want)
 
 
+def test_shards_of_repeated_rows_are_written_where_they_are_planned(spark, tmp_path):
+    rows = [(1, "a", "en"), (1, "a", "en"), (1, "b", "en"), (None, None, None), (2, "c", "de"), (2, "c", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit("s")).withColumn("slot", F.lit(9)).withColumn("q_lang", F.lit("x"))
+    sharding.write_shards(df, str(tmp_path / "s"), 4)
+    got = spark.read.parquet(str(tmp_path / "s"))
+    assert set(df.columns) <= set(got.columns)
+    crc = lambda t: zlib.crc32((t or "").encode())
+    written = sorted((str(r["doc_id"]), crc(r["text"]), r["__shard"], r["__slot"]) for r in got.collect())
+    assert written == sorted((str(r["doc_id"]), r["text_crc32"], r["shard"], r["slot"]) for r in sharding.hilbert_shards(df, 4).collect())
+    assert len({x[2:] for x in written}) == len(rows)
+
+
+def test_runs_of_the_curve_prune(docs):
+    rows = docs.select("doc_id", "lang", "source", "n_chars").collect()
+    place = {r["doc_id"]: r["shard"] for r in sharding.hilbert_shards(docs).collect()}
+    wanted = [[r for r in rows if r["lang"] == x and 200 <= r["n_chars"] < 2000] for x in {r["lang"] for r in rows}] + [[r for r in rows if r["source"] == x] for x in {r["source"] for r in rows}]
+    touched = [len({place[r["doc_id"]] for r in own}) for own in wanted if len(own) >= 8]
+    dealt = [len({r["doc_id"] % sharding.SHARDS for r in own}) for own in wanted if len(own) >= 8]
+    assert touched and sum(touched) < 0.7 * sum(dealt)  # files that a filter on metadata must read
+
+
 # 4 language
 
 
@@ -319,6 +340,54 @@ def test_passages_around_sparse_seeds(spark):
     assert len(got[2]) >= 350 and len(got[4]) == 63
 
 
+@pytest.mark.parametrize("every", [5, 7, 10, 14, 20])
+def test_recall_where_each_kth_word_is_replaced(spark, every):
+    rnd = random.Random(every)
+    rows, own = [], {}
+    for i in range(40):
+        shared = fresh(200 if i % 2 else 60, rnd)
+        rows += [(2 * i, fresh(30, rnd) + shared + fresh(30, rnd)), (2 * i + 1, fresh(20, rnd) + [f"x{rnd.random()}" if k % every == every - 1 else w for k, w in enumerate(shared)] + fresh(20, rnd))]
+        own[2 * i + 1] = set(range(20, 20 + len(shared) - 1))
+    got = covered(spark, rows)
+    found = [i for i in own if len(got.get(i, set()) & own[i]) >= 0.9 * len(own[i])]
+    assert len(found) >= 0.9 * len(own) and all(i % 2 for i in got)
+
+
+def brute_passages(rows):
+    """Words of each document that lie in a stretch of 50 words or more which agrees by 80 % with one of a document of smaller id."""
+    out: dict = {}
+    for i, (doc, own) in enumerate(rows):
+        for other_id, other in rows[:i]:
+            for shift in range(-len(other) + 1, len(own)):  # stretches without insertions
+                at = [k for k in range(max(0, shift), min(len(own), len(other) + shift))]
+                same = [own[k] == other[k - shift] for k in at]
+                if sum(same) < 40:
+                    continue
+                total = np.r_[0, np.cumsum(same)]
+                for s in range(len(at)):
+                    for e in range(len(at), s + 49, -1):
+                        if total[e] - total[s] >= 0.8 * (e - s) and same[s] and same[e - 1]:
+                            out.setdefault(doc, set()).update(at[s:e])
+                            break
+    return out
+
+
+def test_passages_equal_brute_force_on_a_small_table(spark):
+    rnd = random.Random(21)
+    rows = [(0, fresh(120, rnd)), (1, fresh(150, rnd))]
+    for i in range(2, 14):
+        source = rows[rnd.randrange(len(rows))][1]
+        n = rnd.randrange(55, 90)
+        at = rnd.randrange(max(1, len(source) - n))
+        part = [f"x{rnd.random()}" if rnd.random() < rnd.choice([0, 0.05, 0.1]) else w for w in source[at : at + n]]
+        rows.append((i, fresh(rnd.randrange(30), rnd) + part + fresh(rnd.randrange(30), rnd)))
+    rows += [(14, fresh(80, rnd)), (15, rows[3][1][:40] + fresh(40, rnd))]
+    got, want = covered(spark, rows), brute_passages(rows)
+    assert set(got) == set(want)
+    both = sum(len(got[i] & want[i]) for i in want)
+    assert both >= 0.95 * sum(map(len, want.values())) and both >= 0.95 * sum(map(len, got.values()))
+
+
 def test_a_gap_of_many_edits_within_a_passage(spark):
     rnd = random.Random(14)
     shared = fresh(75, rnd)
@@ -455,6 +524,14 @@ def test_simhash(which, request):
     assert kept.columns == df.columns and kept.filter("doc_id is not null").count() == len({c for c in comps.values() if c is not None})
 
 
+def test_one_row_of_a_group_stays_whatever_its_id(spark):
+    long, other = "a b c d e f " * 20, "quite another text with words of its own"
+    rows = [(7, long), (7, other), (None, long), (None, other + " "), (9, long), (9, long), (3, "third"), (3, "third"), (None, "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(str, simhash.drop_near_copies(df).collect()))
+    assert kept == sorted(map(str, spark.createDataFrame([(7, long), (7, other), (3, "third"), (None, "alone")], df.schema).collect()))
+
+
 def test_links_of_a_dense_bucket(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", 16)
     rnd = random.Random(1)
@@ -493,6 +570,57 @@ def test_main_text_of_an_article():
     assert html_text.main_text(None, []) == html_text.main_text("", []) == ""
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ('<body><div id="page" class="site no-sidebar"><h1>T</h1><p>Whole text.</p></div></body>', "T\nWhole text."),
+        ('<article><header class="entry-header"><h1>Title</h1></header><p>Body.</p></article>', "Title\nBody."),
+        ('<main><div class="post-comments-enabled"><p>Text.</p></div></main>', "Text."),
+        ('<main><div class="form-guide"><p>How this form is filled in, explained in whole sentences.</p></div></main>', "How this form is filled in, explained in whole sentences."),
+        ('<main><p>Body.</p><div class="comment-list"><h3>Two comments</h3><p>A reader has written far more than the article, in long sentences of no use here.</p></div></main>', "Body."),
+        ('<p>Body.</p><div class="sidebar"><p>Side.</p></div><div class="site-search"><a>Find</a></div><p>More <span class="ad">buy</span> text.</p>', "Body.\nMore text."),
+        ('<div class="menu-wrapper"><article><p>Inside.</p></article></div>', "Inside."),
+    ],
+)
+def test_names_of_classes_are_votes(html, text):
+    assert html_text.main_text(html, []) == text
+
+
+def test_alignment_of_many_equal_lines():
+    assert len(html_text.common([1] * 50_000, [1] * 49_000 + [2])) == 49_000
+    a, b = [random.Random(k).choices(range(30), k=3000) for k in (1, 2)]
+    got = sorted(html_text.common(a, b))
+    rest, row = iter(b), np.zeros(len(b) + 1, int)
+    for x in a:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (np.array(b) == x)))
+    assert len(got) == row[-1] and all(a[i] in rest for i in got)
+
+
+def brute_main_texts(rows):
+    """The query without Spark: neighbours by sorting the paths of each host."""
+    first: dict = {}
+    for page_id, url, page in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
+        m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)([^?#]*)", url or "")
+        first.setdefault((m[1].lower(), m[2]) if m else ("", ""), page)
+    order = sorted(first)
+    shared = lambda x, y: next((i for i, (p, q) in enumerate(zip(x.split("/"), y.split("/"), strict=False)) if p != q), min(len(x.split("/")), len(y.split("/"))))
+    for page_id, url, page in rows:
+        m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)([^?#]*)", url or "")
+        key = (m[1].lower(), m[2]) if m else ("", "")
+        at = order.index(key)
+        near = [order[i] for i in (at - 1, at + 1) if 0 <= i < len(order) and order[i][0] == key[0]]
+        near.sort(key=lambda k: -shared(key[1], k[1]))
+        text = html_text.main_text(page, [html_text._hashes(html_text.lines(first[k])) for k in near])
+        yield page_id, url, text, len(text)
+
+
+def test_pages_equal_brute_force(spark, data):
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    want = list(brute_main_texts([(r["page_id"], r["url"], r["html"]) for r in pages.collect()]))
+    assert sorted(map(tuple, queries.op10_main_text(spark, data).collect())) == sorted(want)
+    assert any(t != html_text.main_text(p["html"], []) for (_, _, t, _), p in zip(want, pages.collect(), strict=True))  # differencing decides
+
+
 def test_shared_lines_go_where_no_article_is_marked(spark):
     page = lambda a: f"<body><div>Site name</div><p>{a} first.</p><p>{a} second.</p><p>{a} third.</p><div>All rights</div></body>"
     rows = [(1, "http://h.x/a/1", page("A")), (2, "http://h.x/a/2", page("B")), (3, "http://g.x/a/1", page("C")), (4, None, None), (5, "http://h.x/a/1?q", page("A")), (None, "http://h.x/b", page("D")), (1, "http://h.x/a/1", page("A"))]
