@@ -2,7 +2,7 @@
 
 Each stage takes the documents that the stage before kept. ``run`` writes each
 stage's rows to the shared folder and reads them again, so a lost executor
-costs the running stage only.
+costs the running stage only; what the stage read is then deleted.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from factloom.llm.decontamination import drop_contaminated
 from factloom.llm.language_id import fit_on_documents, keep_identified
 from factloom.llm.simhash import drop_near_copies
 from factloom.llm.substrings import drop_repeated_passages
-from factloom.session import prepare, shared_folder
+from factloom.session import delete_folder, prepare, shared_folder
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +62,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to the documents of ``sf_dir``."""
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         folder = shared_folder(spark, name)
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
+        if before:
+            delete_folder(spark, before)
+        before = folder
     return docs

@@ -14,10 +14,15 @@ _SHIPPED = "_factloom_shipped"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set a checkpoint folder where none is set, and send this package to the executors once a context."""
+    """Set the checkpoint folder of ``spark.checkpoint.dir``, and send this package to the executors once a context.
+
+    Without that setting a local session takes a temporary folder; a cluster, whose machines share none, raises.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="factloom-checkpoint-"))
     if not getattr(sc, _SHIPPED, False):
         setattr(sc, _SHIPPED, True)
