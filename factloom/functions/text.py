@@ -27,18 +27,17 @@ def terms(text: Column) -> Column:
 
 
 def stem_variants(term: Column) -> Column:
-    """The term and its stems, sorted and distinct; short terms have no stem."""
+    """The term and its stems, sorted and distinct; lengths are in bytes, terms of fewer than five have no stem."""
     out = [F.array(term)]
     for s in ("ation", "ations"):
         out.append(F.when(term.endswith(s), F.array(F.concat(_cut(term, len(s)), F.lit("e")))))
     for s in SUFFIXES:
         base = _cut(term, len(s))
-        n = F.char_length(base)
-        out.append(F.when(term.endswith(s) & (n >= 4), F.array(base)))
+        out.append(F.when(term.endswith(s) & (F.octet_length(base) >= 4), F.array(base)))
         # every base ends in its own last character, so the shorter form always comes with it
-        out.append(F.when(term.endswith(s) & (n >= 4), F.array(_cut(base, 1))))
+        out.append(F.when(term.endswith(s) & (F.octet_length(_cut(base, 1)) >= 3), F.array(_cut(base, 1))))
     every = F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.array(*[F.coalesce(x, F.array().cast("array<string>")) for x in out])))))
-    return F.when(F.char_length(term) < 5, F.array(term)).otherwise(every)
+    return F.when(F.octet_length(term) < 5, F.array(term)).otherwise(every)
 
 
 def _cut(c: Column, n: int) -> Column:

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.text import ascii_lower
 from factloom.functions.trust import provenance_rank
 from factloom.operators.derive import flow_exits, flow_joins, merge_flow_edges
 
-# Verbs of state transitions, by category; endings and words that mark retries.
-VERBS = {
-    "start": "start begin open init initialize launch boot create", "stop": "stop close shutdown finish end terminate complete",
-    "fail": "fail abort reject error cancel expire", "retry": "retry requeue backoff resume recover", "update": "update transition advance promote approve mark",
-}
+# Names of state transitions; endings and parts of the names of classes that hold a state.
+TRANSITIONS = "advance transition set_status set_state move_to next_state retry cancel fail complete pause resume".split()
+STATE_ENDS, STATE_PARTS = ("state", "status", "stage"), ("statemachine", "machine", "fsm")
 _RETRY = r"(?i)(retry|fallback|backoff)"
 
 
@@ -63,20 +64,43 @@ def provenance_summary(edges: DataFrame) -> DataFrame:
     return n.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("provenance", "n")))).alias("summary"))
 
 
+def _base_name(name: Column) -> Column:
+    """The last part of a dotted name, A-Z lowered."""
+    return ascii_lower(F.element_at(F.split(name, r"\."), -1))
+
+
+def is_transition_verb(name: Column) -> Column:
+    n = _base_name(name)
+    return n.isin(TRANSITIONS) | n.startswith("mark_")
+
+
+def is_signal(name: Column, kind: Column, signature: Column) -> Column:
+    """Whether a symbol tells of a state machine: a class or enum named so, an Enum in its signature, or a transition's name."""
+    n = ascii_lower(name)
+    named = F.lit(False)
+    for end in STATE_ENDS:
+        named = named | n.endswith(end)
+    for part in STATE_PARTS:
+        named = named | n.contains(part)
+    return (F.coalesce(kind, F.lit("")).isin("class", "enum") & named) | F.coalesce(signature, F.lit("")).contains("Enum") | is_transition_verb(name)
+
+
 def verb_category(name: Column) -> Column:
-    """Category of the verb that a name begins with, null if none."""
-    first = F.lower(F.regexp_extract(F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1_$2"), r"^_*([A-Za-z]+)", 1))
-    out = F.when(F.startswith(F.lower(name), F.lit("mark_")), "update")
-    for category, verbs in VERBS.items():
-        out = out.when(first.isin(*verbs.split()), category)
-    return out
+    """Condition of a lifecycle's step."""
+    n = _base_name(name)
+    begins = lambda *words: reduce(lambda x, w: x | n.startswith(w), words, F.lit(False))
+    return (
+        F.when(n == "retry", "retry").when(begins("mark_", "set_"), "event").when(begins("transition", "advance", "move", "next"), "transition")
+        .when(n.isin("cancel", "fail", "complete"), "terminal outcome").otherwise("state")
+    )
 
 
 def lifecycles(symbols: DataFrame, component: str = "component") -> DataFrame:
-    """(component, stages): components with transitions of two categories or more."""
-    rows = symbols.withColumn("category", verb_category(F.col("name"))).filter("category is not null")
-    got = rows.groupBy(component).agg(F.sort_array(F.collect_set(F.struct("category", "name"))).alias("stages"), F.count_distinct("category").alias("n"))
-    return got.filter("n >= 2").select(component, "stages")
+    """(component, order, operation, condition): the signals (name, kind, signature) of components with two or more, by name, after a step for the component itself."""
+    rows = symbols.filter(is_signal(F.col("name"), F.col("kind"), F.col("signature")))
+    got = rows.groupBy(component).agg(F.sort_array(F.collect_list(F.struct("name", verb_category(F.col("name")).alias("condition")))).alias("s")).filter(F.size("s") >= 2)
+    steps = F.concat(F.array(F.struct(F.col(component).cast("string").alias("name"), F.lit(None).cast("string").alias("condition"))), F.col("s"))
+    return got.select(component, F.posexplode(steps).alias("pos", "x")).select(component, (F.col("pos") + 1).alias("order"), F.col("x.name").alias("operation"), F.col("x.condition").alias("condition"))
 
 
 def workflows(symbols: DataFrame, component: str = "component") -> DataFrame:

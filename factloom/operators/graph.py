@@ -16,6 +16,8 @@ DAMPING, ROUNDS, WARM = 0.85, 50, 0.3
 DEPTH, VISITS = 10, 64
 #: Merge thresholds of regions and services, cohesion, weight that a cross-unit pair must beat.
 MERGE, SERVICE, COHESION = 6, 12, 0.4
+#: Units of an edge's weight.
+WEIGHT_UNITS = 1_000_000_000
 
 
 def trusted(edges: DataFrame, stale_evidence: DataFrame | None = None, **policy) -> DataFrame:
@@ -101,7 +103,9 @@ def weighted(edges: DataFrame, entities: DataFrame) -> DataFrame:
     degree = edges.groupBy("object").agg(F.count_distinct("subject").alias("degree"))
     total = F.broadcast(entities.agg(F.count("*").alias("total")))
     w = edges.join(degree, "object").join(total)
-    w = w.groupBy(F.col("subject").alias("src"), F.col("object").alias("dst")).agg(F.sum(edge_weight(F.col("predicate"), F.col("provenance"), F.col("confidence"), F.col("total"), F.col("degree"))).alias("w"))
+    # whole numbers, so that sums don't depend on the order of rows
+    units = F.round(WEIGHT_UNITS * edge_weight(F.col("predicate"), F.col("provenance"), F.col("confidence"), F.col("total"), F.col("degree"))).cast("long")
+    w = w.groupBy(F.col("subject").alias("src"), F.col("object").alias("dst")).agg(F.sum(units).alias("w"))
     sums = w.groupBy("src").agg(F.sum("w").alias("s"))
     return w.join(sums, "src").filter("s > 0").select("src", "dst", (F.col("w") / F.col("s")).alias("weight"))
 

@@ -39,23 +39,40 @@ def flow_graph_edges(t: Tables) -> DataFrame:
     return flows.flow_graph(_paths(t), _calls(t))["edges"].select("from", "to", "kind", "provenance")
 
 
-@query("SELECT o_orderpriority AS component, array_to_string(list_sort(list(DISTINCT CASE o_orderstatus WHEN 'F' THEN 'stop' WHEN 'O' THEN 'start' ELSE 'update' END)), ',') AS stages FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) >= 2")
+_SIGNALS = "s AS (SELECT DISTINCT o_orderpriority AS component, CASE o_orderstatus WHEN 'F' THEN 'Order.complete' WHEN 'P' THEN 'mark_partial' ELSE CASE WHEN o_totalprice > 250000 THEN 'Order.move_to' WHEN o_totalprice > 150000 THEN 'resume' ELSE 'closeOrder' END END AS name FROM orders UNION SELECT DISTINCT o_orderpriority, 'Priority' || o_orderpriority || 'State' FROM orders WHERE o_orderpriority > '2')"
+
+
+@query(f"""WITH {_SIGNALS}, g AS (SELECT component, name, CASE WHEN name = 'mark_partial' THEN 'event' WHEN name = 'Order.move_to' THEN 'transition' WHEN name = 'Order.complete' THEN 'terminal outcome' ELSE 'state' END AS condition FROM s WHERE name <> 'closeOrder'),
+k AS (SELECT component FROM g GROUP BY 1 HAVING count(*) >= 2)
+SELECT component, CAST(1 + row_number() OVER (PARTITION BY component ORDER BY name) AS INT) AS "order", name AS operation, condition FROM g WHERE component IN (SELECT component FROM k) UNION ALL SELECT component, 1, component, NULL FROM k""")
 def compile_lifecycles(t: Tables) -> DataFrame:
-    name = F.when(F.col("o_orderstatus") == "F", "closeOrder").when(F.col("o_orderstatus") == "O", "openOrder").otherwise("mark_partial")
-    out = flows.lifecycles(t.orders.select(F.col("o_orderpriority").alias("component"), name.alias("name")))
-    return out.select("component", F.array_join(F.transform("stages", lambda s: s["category"]), ",").alias("stages"))
+    """Statuses and prices of orders as methods, priorities as components with a class that holds their state."""
+    name = F.when(F.col("o_orderstatus") == "F", "Order.complete").when(F.col("o_orderstatus") == "P", "mark_partial").when(F.col("o_totalprice") > 250000, "Order.move_to").when(F.col("o_totalprice") > 150000, "resume").otherwise("closeOrder")
+    methods = t.orders.select(F.col("o_orderpriority").alias("component"), name.alias("name"), F.lit("method").alias("kind")).distinct()
+    classes = t.orders.filter("o_orderpriority > '2'").select("o_orderpriority", F.concat(F.lit("Priority"), "o_orderpriority", F.lit("State")), F.lit("class")).distinct()
+    return flows.lifecycles(methods.union(classes).withColumn("signature", F.lit(None).cast("string")))
 
 
-@query("SELECT c_custkey, CASE WHEN c_acctbal > 9000 THEN 'public' WHEN c_custkey % 4 = 0 THEN 'state' WHEN c_mktsegment = 'BUILDING' THEN 'contract' WHEN c_custkey % 7 = 1 THEN 'flow' WHEN c_nationkey = 3 THEN 'types' ELSE 'core' END AS kind FROM customer")
+@query("""WITH o AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS writes, count(*) FILTER (o_orderstatus = 'P') AS flows FROM orders GROUP BY 1)
+SELECT c_custkey, CASE WHEN c_acctbal > 9000 THEN 'public' WHEN coalesce(writes, 0) > 0 THEN 'state' WHEN c_mktsegment = 'BUILDING' THEN 'contract' WHEN coalesce(flows, 0) > 0 THEN 'flow' WHEN c_nationkey = 3 THEN 'types' ELSE 'core' END AS kind FROM customer LEFT JOIN o ON c_custkey = o_custkey""")
 def surface_kinds(t: Tables) -> DataFrame:
-    row = {"exported": F.col("c_acctbal") > 9000, "writes": F.when(F.col("c_custkey") % 4 == 0, 1).otherwise(0), "contract": F.col("c_mktsegment") == "BUILDING", "flows": F.when(F.col("c_custkey") % 7 == 1, 1).otherwise(0), "symbol_kind": F.when(F.col("c_nationkey") == 3, "class").otherwise("function")}
-    return t.customer.select("c_custkey", surface.quota_kind(row).alias("kind"))
+    n = lambda s: F.sum((F.col("o_orderstatus") == s).cast("int"))
+    orders = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(n("F").alias("writes"), n("P").alias("flows"))
+    rows = t.customer.join(orders, "c_custkey", "left").na.fill(0, ["writes", "flows"])
+    row = {"exported": F.col("c_acctbal") > 9000, "writes": F.col("writes"), "contract": F.col("c_mktsegment") == "BUILDING", "flows": F.col("flows"), "symbol_kind": F.when(F.col("c_nationkey") == 3, "class").otherwise("function")}
+    return rows.select("c_custkey", surface.quota_kind(row).alias("kind"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_type || ' — ' || p_brand || chr(10) || '  callers: a, b' WHEN 3 THEN p_name ELSE p_type || ' — ' || p_brand END AS text FROM part")
+@query("""WITH c AS (SELECT l_partkey, string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ', ' ORDER BY CAST(l_suppkey AS VARCHAR)) AS callers FROM lineitem WHERE l_quantity > 45 GROUP BY 1)
+SELECT p_partkey, CASE WHEN p_size > 37 THEN p_name ELSE p_type || ' — ' || p_brand || CASE WHEN p_size <= 25 THEN chr(10) || '  ' || p_name || '.' ELSE '' END || CASE WHEN p_size <= 12 AND callers IS NOT NULL THEN chr(10) || '  callers: ' || callers ELSE '' END END AS text
+FROM part LEFT JOIN c ON p_partkey = l_partkey""")
 def render_levels(t: Tables) -> DataFrame:
-    e = surface.render_entry(F.col("p_partkey") % 4, F.col("p_name"), F.col("p_brand"), F.col("p_type"), F.lit(None).cast("string"), F.array(F.lit("a"), F.lit("b")))
-    return t.part.select("p_partkey", e.alias("text"))
+    """Parts by size at four levels of compression, called by the suppliers of large lines."""
+    callers = t.lineitem.filter("l_quantity > 45").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.sort_array(F.collect_set(F.col("l_suppkey").cast("string"))).alias("callers"))
+    rows = t.part.join(callers, "p_partkey", "left").withColumn("callers", F.coalesce("callers", F.array().cast("array<string>")))
+    level = F.when(F.col("p_size") > 37, 3).when(F.col("p_size") > 25, 2).when(F.col("p_size") > 12, 1).otherwise(0)
+    doc = F.concat("p_name", F.lit(". More of it."))
+    return rows.select("p_partkey", surface.render_entry(level, F.col("p_name"), F.col("p_brand"), F.col("p_type"), doc, F.col("callers")).alias("text"))
 
 
 @query("SELECT p_type AS subclass, array_to_string(list_sort(list(DISTINCT 'b' || p_brand)), ',') AS consumers FROM part GROUP BY 1")
@@ -80,7 +97,10 @@ def model_epoch(t: Tables) -> DataFrame:
     return epochs.generations(t.events.select(kind.alias("kind"), F.col("event_id").alias("batch"))).select("source", "semantic")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 3 > 2 THEN 'HIGH' WHEN o_orderkey % 3 > 0 OR o_orderkey % 4 > 1 THEN 'MEDIUM' ELSE 'LOW' END AS risk, CAST(4000 + greatest(ceil(4000 * 0.2), 500) AS BIGINT) AS most FROM orders")
+@query("""WITH f AS (SELECT l_orderkey AS o_orderkey, count(DISTINCT l_suppkey) AS components, count(*) FILTER (l_returnflag = 'R') AS contracts, count(*) FILTER (l_discount > 0.09) AS invariants, CAST(sum(l_quantity) AS BIGINT) AS budget FROM lineitem GROUP BY 1)
+SELECT o_orderkey, CASE WHEN invariants > 0 OR contracts > 2 THEN 'HIGH' WHEN contracts > 0 OR components > 1 THEN 'MEDIUM' ELSE 'LOW' END AS risk, CAST(100 * budget + greatest(ceil(100 * budget * 0.2), 500) AS BIGINT) AS most FROM f""")
 def risk_and_hard_max(t: Tables) -> DataFrame:
-    k = F.col("o_orderkey")
-    return t.orders.select("o_orderkey", S.risk_class(k % 4, k % 3, F.when(k % 5 == 0, 1).otherwise(0)).alias("risk"), S.hard_max(F.lit(4000)).cast("long").alias("most"))
+    """Risk of a change of each order by what it touches, and the hard limit over its quantity as a budget."""
+    n = lambda c: F.sum(F.col(c).cast("int")) if isinstance(c, str) else F.sum(c.cast("int"))
+    f = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count_distinct("l_suppkey").alias("components"), n(F.col("l_returnflag") == "R").alias("contracts"), n(F.col("l_discount") > 0.09).alias("invariants"), F.sum("l_quantity").cast("long").alias("budget"))
+    return f.select("o_orderkey", S.risk_class(F.col("components"), F.col("contracts"), F.col("invariants")).alias("risk"), S.hard_max(100 * F.col("budget")).cast("long").alias("most"))

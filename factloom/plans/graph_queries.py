@@ -157,8 +157,8 @@ _VW = "CASE provenance WHEN 'OBSERVED' THEN 1.0 WHEN 'RESOLVED' THEN 1.0 WHEN 'E
 
 
 @query(f"""WITH {B.ENTITIES_SQL}, {B.EDGES_SQL}, n AS (SELECT count(*) AS total FROM entities), d AS (SELECT object, count(DISTINCT subject) AS degree FROM edges GROUP BY 1),
-w AS (SELECT subject AS src, edges.object AS dst, sum({_PW}::DOUBLE * {_VW}::DOUBLE * least(greatest(confidence, 0), 1) * least(greatest(ln(total / (1 + degree)::DOUBLE), 0.25), 1.5)) AS w FROM edges JOIN d ON edges.object = d.object, n GROUP BY 1, 2)
-SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 6) AS weight FROM w""")
+w AS (SELECT subject AS src, edges.object AS dst, sum(CAST(round(1000000000 * ({_PW}::DOUBLE * {_VW}::DOUBLE * least(greatest(confidence, 0), 1) * least(greatest(ln(total / (1 + degree)::DOUBLE), 0.25), 1.5))) AS BIGINT)) AS w FROM edges JOIN d ON edges.object = d.object, n GROUP BY 1, 2)
+SELECT src, dst, round(CAST(w AS DOUBLE) / CAST(sum(w) OVER (PARTITION BY src) AS DOUBLE), 6) AS weight FROM w""")
 def rank_graph(t: Tables) -> DataFrame:
     return graph.weighted(B.edges(t), B.entities(t)).select("src", "dst", F.round("weight", 6).alias("weight"))
 
@@ -171,25 +171,23 @@ def project_to_symbols(t: Tables) -> DataFrame:
     return graph.project_ranks(ranks, edges).select("id", F.round("rank", 6).alias("rank"))
 
 
-_SPARSE = "SELECT DISTINCT p_partkey AS src, p_partkey * 3 % 211 AS dst FROM part WHERE p_partkey * 3 % 211 > 0 AND p_partkey < 211"
+_DOWN = f"links AS (SELECT object AS src, subject AS dst FROM edges WHERE predicate IN ('belongs_to', 'imports') UNION ALL SELECT subject, object FROM edges WHERE predicate = 'calls')"
 
 
-@query(f"""WITH RECURSIVE links AS ({_SPARSE}), walk AS (SELECT p_partkey AS seed, p_partkey AS node, 0 AS hops FROM part WHERE p_partkey IN (1, 7, 50) UNION ALL SELECT seed, dst, hops + 1 FROM walk JOIN links ON node = src WHERE hops < 6)
+@query(f"""WITH RECURSIVE {B.EDGES_SQL}, {_DOWN}, walk AS (SELECT 'region:' || r_regionkey AS seed, 'region:' || r_regionkey AS node, 0 AS hops FROM region UNION SELECT seed, dst, hops + 1 FROM walk JOIN links ON node = src WHERE hops < 4)
 SELECT seed, node, CAST(min(hops) AS INT) AS hops FROM walk GROUP BY 1, 2""")
 def bounded_reach(t: Tables) -> DataFrame:
-    return graph.reach(_sparse(t), t.part.filter("p_partkey in (1, 7, 50)").select(F.col("p_partkey").alias("id")), 6)
-
-
-def _sparse(t: Tables) -> DataFrame:
-    k = F.col("p_partkey")
-    return t.part.filter("p_partkey * 3 % 211 > 0 and p_partkey < 211").select(k.alias("src"), (k * 3 % 211).alias("dst"))
+    """What each region reaches over the whole graph, from nations to parts."""
+    e = B.edges(t)
+    links = e.filter("predicate in ('belongs_to', 'imports')").select(F.col("object").alias("src"), F.col("subject").alias("dst")).union(e.filter("predicate = 'calls'").select("subject", "object"))
+    return graph.reach(links, t.region.select(F.concat(F.lit("region:"), "r_regionkey").alias("id")), 4)
 
 
 @query()
 def walk_calls(t: Tables) -> DataFrame:
-    """Order-dependent walk: tested against a plain walk."""
+    """Order-dependent walk from the dearest urgent orders: tested against a plain walk."""
     e = B.edges(t).filter("predicate in ('calls', 'imports', 'belongs_to')").select(F.col("subject").alias("src"), F.col("object").alias("dst"), trust.provenance_rank(F.col("provenance")).alias("rank"))
-    entries = t.orders.filter("o_orderkey % 500 = 0").select(F.concat(F.lit("orders:"), "o_orderkey").alias("id"))
+    entries = t.orders.filter("o_orderpriority = '1-URGENT' and o_totalprice > 400000").select(F.concat(F.lit("orders:"), "o_orderkey").alias("id"))
     return graph.bounded_paths(e, entries, 3).select("entry", "ordinal", F.array_join("path", " > ").alias("path"))
 
 
@@ -235,18 +233,18 @@ def compute_impact(t: Tables) -> DataFrame:
     return graph.impact(t.customer.filter("c_custkey = 1").select(F.lit("customer:1").alias("id")), contains, calls, 1)
 
 
-_FLOW = "f AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS a, l_suppkey + 1000000 AS b FROM lineitem WHERE l_quantity > 48)"
+_FLOW = "f AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS a, l_suppkey + 1000000 AS b FROM lineitem)"
 
 
 @query(f"WITH {_FLOW} SELECT b AS node, CAST(count(DISTINCT a) AS BIGINT) AS entries FROM f GROUP BY 1 HAVING count(DISTINCT a) > 1")
 def flow_joins(t: Tables) -> DataFrame:
-    e = t.lineitem.filter("l_quantity > 48").select(F.col("l_partkey").alias("from"), (F.col("l_suppkey") + 1000000).alias("to"))
+    e = t.lineitem.select(F.col("l_partkey").alias("from"), (F.col("l_suppkey") + 1000000).alias("to"))
     return derive.flow_joins(e)
 
 
 @query(f"WITH {_FLOW} SELECT DISTINCT b AS node FROM f WHERE b NOT IN (SELECT a FROM f)")
 def flow_exits(t: Tables) -> DataFrame:
-    e = t.lineitem.filter("l_quantity > 48").select(F.col("l_partkey").alias("from"), (F.col("l_suppkey") + 1000000).alias("to"))
+    e = t.lineitem.select(F.col("l_partkey").alias("from"), (F.col("l_suppkey") + 1000000).alias("to"))
     return derive.flow_exits(e)
 
 

@@ -107,11 +107,19 @@ def drop_ladder(t: Tables) -> DataFrame:
     return selection.drop_ladder(c, ["request"], 40_000).select("request", F.array_join("kept", ",").alias("kept"), "total")
 
 
-@query("SELECT vec_id, round(CASE WHEN label % 2 = 0 THEN 0.3 * (vec_id % 10) / 10 + 0.2 * (vec_id % 7) / 7 ELSE 0.5 * (vec_id % 7) / 7 END + 0.15 * (vec_id % 5) / 5 + 0.1 + 0.1 + 0.1 * (label % 3) / 3 + 0.05 * 0.5 + 0.05 * CASE WHEN vec_id % 4 = 0 THEN 0.1 ELSE 1 END, 6)::DOUBLE AS score FROM embeddings")
+_FACTS = """f AS (SELECT s_suppkey, s_acctbal, count(l_orderkey) AS n, count(*) FILTER (l_returnflag = 'R') AS r, count(*) FILTER (l_linestatus = 'O') AS o, count(DISTINCT l_partkey) AS parts FROM supplier LEFT JOIN lineitem ON s_suppkey = l_suppkey GROUP BY 1, 2), m AS (SELECT max(n) AS most FROM f)"""
+
+
+@query(f"""WITH {_FACTS} SELECT s_suppkey, round(CASE WHEN s_acctbal > 0 THEN 0.3 * (r / greatest(n, 1)::DOUBLE) + 0.2 * (n / most::DOUBLE) ELSE 0.5 * (n / most::DOUBLE) END + 0.15 * (parts / greatest(n, 1)::DOUBLE) + 0.1 * 1.0 + 0.1 * 1.0 + 0.1 * (o / greatest(n, 1)::DOUBLE) + 0.05 * 0.5
+ + 0.05 * CASE WHEN s_acctbal < 0 AND NOT r > 0 AND NOT o > n THEN 0.1 ELSE 1.0 END, 6)::DOUBLE AS score FROM f, m""")
 def importance_blend(t: Tables) -> DataFrame:
-    v, lab = F.col("vec_id"), F.col("label")
-    parts = {"task_ppr": v % 10 / 10, "global_ppr": v % 7 / 7, "lexical": v % 5 / 5, "semantic": F.lit(1.0), "confidence": F.lit(1.0), "criticality": lab % 3 / 3, "change_risk": F.lit(0.5), "novelty": S.novelty(v % 4 == 0, F.lit(False), F.lit(False))}
-    return t.embeddings.select("vec_id", F.round(F.when(lab % 2 == 0, S.final_importance(parts)).otherwise(S.final_importance(parts, has_task=False)), 6).alias("score"))
+    """Suppliers by their share of lines, of returns, of open lines and of different parts; those in debt have no task."""
+    count = lambda c: F.sum(F.coalesce(c.cast("int"), F.lit(0)))
+    f = t.supplier.join(t.lineitem, F.col("s_suppkey") == F.col("l_suppkey"), "left").groupBy("s_suppkey", "s_acctbal").agg(F.count("l_orderkey").alias("n"), count(F.col("l_returnflag") == "R").alias("r"), count(F.col("l_linestatus") == "O").alias("o"), F.count_distinct("l_partkey").alias("parts"))
+    f = f.join(F.broadcast(f.agg(F.max("n").alias("most"))))  # one row
+    share = lambda c: F.col(c) / F.greatest("n", F.lit(1)).cast("double")
+    parts = {"task_ppr": share("r"), "global_ppr": F.col("n") / F.col("most"), "lexical": share("parts"), "semantic": F.lit(1.0), "confidence": F.lit(1.0), "criticality": share("o"), "change_risk": F.lit(0.5), "novelty": S.novelty(F.col("s_acctbal") < 0, F.col("r") > 0, F.col("o") > F.col("n"))}
+    return f.select("s_suppkey", F.round(F.when(F.col("s_acctbal") > 0, S.final_importance(parts)).otherwise(S.final_importance(parts, has_task=False)), 6).alias("score"))
 
 
 @query("""WITH u AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS p FROM pages), f AS (SELECT page_id,
@@ -155,12 +163,12 @@ def adaptive_budget(t: Tables) -> DataFrame:
     return g.select("request", "candidates", F.round(S.adaptive_budget(F.col("candidates"), F.col("cost")), 6).alias("share"))
 
 
-@query("SELECT item_id, CAST(count(*) FILTER (contains(d.text, b.text)) AS BIGINT) AS holders FROM benchmark b, (SELECT text FROM documents WHERE lang = 'en') d GROUP BY 1")
+@query("SELECT item_id, CAST(count(*) FILTER (contains(d.text, b.text)) AS BIGINT) AS holders FROM benchmark b, documents d GROUP BY 1")
 def score_tasks(t: Tables) -> DataFrame:
     """How many documents hold each benchmark passage whole."""
     items = t.benchmark.select("item_id", F.col("text").alias("passage"), F.left("text", F.lit(40)).alias("k"))
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("passage")), F.lit(0)).alias("bytes")).first()
-    docs = t.documents.filter("lang = 'en'").select("doc_id", "text")
+    docs = t.documents.select("doc_id", "text")
     if size["n"] <= 1000 and size["bytes"] <= 4 << 20:  # a stated query set of proven size
         listed = F.broadcast(items.agg(F.collect_list(F.struct("item_id", "passage")).alias("q")))
         hits = docs.join(listed).select("doc_id", F.explode(F.filter("q", lambda x: F.contains(F.col("text"), x["passage"]))).alias("x")).select("doc_id", "x.item_id")

@@ -114,9 +114,12 @@ def relationships_to(t: Tables) -> DataFrame:
     return B.edges(t).filter("object = 'nation:3'").select("subject", "predicate")
 
 
-@query(f"WITH {B.EDGES_SQL} SELECT subject, predicate, object FROM edges WHERE subject = 'nation:3' AND predicate = 'belongs_to' AND object = 'region:1'")
+@query(f"WITH {B.EDGES_SQL} SELECT subject, predicate, object FROM edges WHERE (subject, predicate, object) IN (SELECT 'nation:' || n_nationkey, 'belongs_to', 'region:' || r_regionkey FROM nation, region) OR (predicate = 'imports' AND object = 'customer:1')")
 def relationships_between(t: Tables) -> DataFrame:
-    return B.edges(t).filter("subject = 'nation:3' and predicate = 'belongs_to' and object = 'region:1'").select("subject", "predicate", "object")
+    """The edges of asked pairs: each nation with each region, and what imports customer 1."""
+    asked = t.nation.join(t.region).select(F.concat(F.lit("nation:"), "n_nationkey").alias("subject"), F.lit("belongs_to").alias("predicate"), F.concat(F.lit("region:"), "r_regionkey").alias("object"))  # 125 rows
+    e = B.edges(t)
+    return e.join(asked, ["subject", "predicate", "object"], "left_semi").union(e.filter("predicate = 'imports' and object = 'customer:1'")).select("subject", "predicate", "object")
 
 
 @query(f"WITH {B.EDGES_SQL} SELECT predicate, provenance, {_ALLOWS} AS allowed, CAST(count(*) AS BIGINT) AS n FROM edges GROUP BY 1, 2, 3")

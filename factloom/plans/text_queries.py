@@ -28,14 +28,14 @@ def terms(t: Tables) -> DataFrame:
 
 _STEMS = (
     "list_sort(list_distinct(list_filter([w, CASE WHEN w LIKE '%ation' THEN left(w, length(w) - 5) || 'e' END, CASE WHEN w LIKE '%ations' THEN left(w, length(w) - 6) || 'e' END, "
-    + ", ".join(f"CASE WHEN w LIKE '%{s}' AND length(w) - {len(s)} >= 4 THEN left(w, length(w) - {len(s)}) END, CASE WHEN w LIKE '%{s}' AND length(w) - {len(s)} >= 4 THEN left(w, length(w) - {len(s) + 1}) END" for s in X.SUFFIXES)
+    + ", ".join(f"CASE WHEN w LIKE '%{s}' AND strlen(w) - {len(s)} >= 4 THEN left(w, length(w) - {len(s)}) END, CASE WHEN w LIKE '%{s}' AND length(w) > {len(s)} AND strlen(left(w, length(w) - {len(s) + 1})) >= 3 THEN left(w, length(w) - {len(s) + 1}) END" for s in X.SUFFIXES)
     + "], lambda x: x IS NOT NULL)))"
 )
 
 
-@query(f"WITH w AS (SELECT DISTINCT unnest({_terms_sql('p_name')}) AS w FROM part UNION SELECT DISTINCT unnest({_terms_sql('text')}) FROM documents WHERE doc_id < 50) SELECT w AS term, CASE WHEN length(w) < 5 THEN w ELSE array_to_string({_STEMS}, ' ') END AS stems FROM w")
+@query(f"WITH w AS (SELECT DISTINCT unnest({_terms_sql('p_name')}) AS w FROM part UNION SELECT DISTINCT unnest({_terms_sql('text')}) FROM documents) SELECT w AS term, CASE WHEN strlen(w) < 5 THEN w ELSE array_to_string({_STEMS}, ' ') END AS stems FROM w")
 def stem_variants(t: Tables) -> DataFrame:
-    words = t.part.select(F.explode(X.terms(F.col("p_name"))).alias("term")).union(t.documents.filter("doc_id < 50").select(F.explode(X.terms(F.col("text"))))).distinct()
+    words = t.part.select(F.explode(X.terms(F.col("p_name"))).alias("term")).union(t.documents.select(F.explode(X.terms(F.col("text"))))).distinct()
     return words.select("term", F.array_join(X.stem_variants(F.col("term")), " ").alias("stems"))
 
 
@@ -52,9 +52,9 @@ def entity_ids(t: Tables) -> DataFrame:
     return t.pages.select("page_id", X.sanitize_key(F.col("url")).alias("slug"), X.entity_id(F.lit("web"), F.lit("page"), F.col("url")).alias("id"))
 
 
-@query("SELECT doc_id, array_to_string(list_transform(regexp_extract_all(hex(encode(left(text, 60))), '..'), lambda h: CASE WHEN h < '80' AND regexp_matches(chr(CAST('0x' || h AS INT)), '^[A-Za-z0-9/._-]$') THEN chr(CAST('0x' || h AS INT)) ELSE '%' || h END), '') AS encoded, left(text, 60) AS decoded FROM documents")
+@query("SELECT doc_id, array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CASE WHEN h < '80' AND regexp_matches(chr(CAST('0x' || h AS INT)), '^[A-Za-z0-9/._-]$') THEN chr(CAST('0x' || h AS INT)) ELSE '%' || h END), '') AS encoded, text AS decoded FROM documents")
 def percent_encoding(t: Tables) -> DataFrame:
-    enc = X.encode_component(F.left("text", F.lit(60)))
+    enc = X.encode_component(F.col("text"))
     return t.documents.select("doc_id", enc.alias("encoded")).select("doc_id", "encoded", X.decode_component(F.col("encoded")).alias("decoded"))
 
 
@@ -102,12 +102,16 @@ def keyword_scan(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", X.has_keyword(F.col("text"), "the").alias("hit"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'read' WHEN o_orderkey % 3 = 1 THEN 'write' ELSE 'query' END AS op, CASE WHEN o_orderkey % 3 < 2 THEN 'orders' END AS \"table\" FROM orders")
+_TABLE = r"""(?i)\b(?:from|into|update|join|table)\s+["'`]?([A-Za-z_][A-Za-z0-9_.]*)"""
+
+
+@query(rf"""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)^\s*(insert|update|delete|replace|merge|create|drop|alter)\b') THEN 'write' WHEN regexp_matches(text, '(?i)^\s*select\b') THEN 'read' ELSE 'query' END AS op,
+nullif(regexp_extract(text, '{_TABLE.replace("'", "''")}', 1), '') AS "table" FROM documents UNION ALL SELECT -1 - page_id, 'read', regexp_extract(url, '^[a-z]+://([a-z]+)', 1) FROM pages""")
 def sql_sniffing(t: Tables) -> DataFrame:
-    k = F.col("o_orderkey") % 3
-    sql = F.when(k == 0, "select * from orders where x = 1").when(k == 1, "INSERT INTO orders VALUES (1)").otherwise("explain something")
-    x = X.sql_op_table(sql)
-    return t.orders.select("o_orderkey", x["op"].alias("op"), x["table"].alias("table"))
+    """Documents as they are, and a statement over each page's host."""
+    statements = t.pages.select((-1 - F.col("page_id")).alias("doc_id"), F.concat(F.lit(" SELECT a, b\n FROM "), F.regexp_extract("url", "^[a-z]+://([a-z]+)", 1), F.lit(" WHERE c = 1")).alias("text"))
+    x = X.sql_op_table(F.col("text"))
+    return t.documents.select("doc_id", "text").union(statements).select("doc_id", x["op"].alias("op"), x["table"].alias("table"))
 
 
 @query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, list_extract(string_split(regexp_extract(url, '^[a-z]+://[^/?#]+/?([^?#]*)', 1), '/'), 1) AS section FROM pages")

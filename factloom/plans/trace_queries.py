@@ -56,12 +56,17 @@ def reconcile(t: Tables) -> DataFrame:
     return traces.reconcile(*_three(t))
 
 
-@query(f"WITH {B.SPANS_SQL}, {_OBS}, {_DECL} SELECT 'declared_unobserved' AS kind, 'declared_unobserved: ' || source || ' > ' || target AS message FROM (SELECT * FROM de EXCEPT SELECT * FROM obs) WHERE source <> 'login'")
+_LOUD = "(SELECT parent_service || ' > ' || service AS pair, count(*) AS n FROM spans WHERE parent_service IS NOT NULL AND latency_ms > 20 GROUP BY 1)"
+
+
+@query(f"WITH {B.SPANS_SQL} SELECT 'slow_edge' AS kind, 'slow_edge: ' || pair AS message FROM {_LOUD} WHERE pair <> 'click > view'")
 def persist_findings(t: Tables) -> DataFrame:
-    observed, _, declared = _three(t)
-    pair = lambda df: df.select(F.concat_ws(" > ", "source", "target").alias("pair"))
-    found = derive.drift(pair(declared), pair(observed), "pair", "declared_unobserved")
-    known = t.spark.createDataFrame([("declared_unobserved", "declared_unobserved: login > logout")], "kind string, message string")
+    """Findings on pairs of services with slow calls that weren't known before."""
+    s = B.transitions(t)
+    parents = s.select(F.col("span").alias("parent"), F.col("service").alias("source"))
+    found = s.filter("latency_ms > 20").join(parents, "parent").select(F.concat_ws(" > ", "source", "service").alias("pair"))
+    found = found.distinct().select(F.lit("slow_edge").alias("kind"), F.concat(F.lit("slow_edge: "), "pair").alias("message"))
+    known = t.spark.createDataFrame([("slow_edge", "slow_edge: click > view")], "kind string, message string")
     return traces.new_findings(found, known, ["kind", "message"])
 
 
