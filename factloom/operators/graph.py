@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.scoring import PROJECTION_CAP, PROJECTION_FACTOR, edge_weight
 from factloom.functions.trust import allows, provenance_rank
-from factloom.session import cut
+from factloom.session import cut, shuffle_partitions
 
 #: Damping and rounds of the rank, share of the global rank in a task's start.
 DAMPING, ROUNDS, WARM = 0.85, 50, 0.3
@@ -16,6 +19,8 @@ DAMPING, ROUNDS, WARM = 0.85, 50, 0.3
 DEPTH, VISITS = 10, 64
 #: Merge thresholds of regions and services, cohesion, weight that a cross-unit pair must beat.
 MERGE, SERVICE, COHESION = 6, 12, 0.4
+#: Most nodes and links of a graph that one task ranks (about 100 MB).
+SMALL = 1_000_000
 #: Units of an edge's weight.
 WEIGHT_UNITS = 1_000_000_000
 
@@ -110,25 +115,56 @@ def weighted(edges: DataFrame, entities: DataFrame) -> DataFrame:
     return w.join(sums, "src").filter("s > 0").select("src", "dst", (F.col("w") / F.col("s")).alias("weight"))
 
 
+def _power(nodes: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, t: np.ndarray, rank: np.ndarray, rounds: int, damping: float) -> np.ndarray:
+    """The rounds of the rank over node numbers; what nodes without links hold is dealt evenly."""
+    loose = np.ones(nodes, bool)
+    loose[src] = False
+    for _ in range(rounds):
+        got = np.bincount(dst, rank[src] * weight, nodes)
+        rank = (1 - damping) * t + damping * (got + rank[loose].sum() / nodes)
+    return rank
+
+
+def _small_pagerank(links: DataFrame, base: DataFrame, rounds: int, damping: float) -> DataFrame:
+    """The ranks of a graph within SMALL links and nodes, in one task; base: id, t, start."""
+    none = lambda df, c, like: F.lit(None).cast(like.schema[c].dataType).alias(c)
+    rows = base.select("id", none(base, "dst", links), F.col("t").alias("a"), F.col("start").alias("b"))
+    rows = rows.union(links.select("src", "dst", F.col("weight").cast("double"), F.lit(0.0))).repartition(1)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(parts))
+        own = pdf[pdf["dst"].isna()].sort_values("id")
+        if len(own):
+            number = pd.Series(np.arange(len(own)), index=own["id"])
+            edges = pdf[pdf["dst"].notna()].sort_values(["id", "dst"])
+            ends = [edges[c].map(number).to_numpy().astype(np.int64) for c in ("id", "dst")]
+            rank = _power(len(own), *ends, edges["a"].to_numpy(float), own["a"].to_numpy(float), own["b"].to_numpy(float), rounds, damping)
+            yield pd.DataFrame({"id": own["id"].to_numpy(), "rank": rank})
+
+    return rows.mapInPandas(run, f"id {dict(base.dtypes)['id']}, rank double")
+
+
 def pagerank(links: DataFrame, nodes: DataFrame, seeds: DataFrame | None = None, start: DataFrame | None = None, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(id, rank) over normalised (src, dst, weight).
+    """(id, rank) over normalised (src, dst, weight) between the nodes (id).
 
     seeds (id, share): teleport shares, uniform if None. start (id, rank): the
     first vector, else the teleport shares. What nodes without links hold is dealt
-    evenly. Checkpoints cut the lineage.
+    evenly. A graph of at most SMALL links and nodes is ranked in one task; a greater one by
+    joins on one partitioning of the links, with checkpoints that cut the lineage.
     """
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("rank"))
     base = nodes.select("id").join(seeds.select("id", "share"), "id", "left").select("id", F.coalesce("share", F.lit(0.0)).alias("t")) if seeds is not None else nodes.select("id", F.lit(1.0 / n).alias("t"))
+    first = base.join(start.select("id", F.col("rank").alias("start")), "id", "left").na.fill(0.0, ["start"]) if start is not None else base.withColumn("start", F.col("t"))
+    links = cut(links.repartition(shuffle_partitions(links.sparkSession), "src"))
+    if max(n, links.count()) <= SMALL:
+        return _small_pagerank(links, first, rounds, damping)
     ends = links.select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(1))
-    base = cut(base.join(ends, "id", "left"))
-    links = cut(links)
+    base = cut(first.join(ends, "id", "left"))
+    lossy = not base.filter("out is null").isEmpty()
+    rank = base.select("id", F.col("start").alias("rank"))
     loose = base.filter("out is null").select("id")
-    lossy = not loose.isEmpty()
-    rank = base.select("id", F.col("t").alias("rank"))
-    if start is not None:
-        rank = base.select("id").join(start.select("id", "rank"), "id", "left").select("id", F.coalesce("rank", F.lit(0.0)).alias("rank"))
     for i in range(rounds):
         given = links.join(rank, links["src"] == rank["id"]).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("rank") * F.col("weight")).alias("got"))
         new, lost = base.join(given, base["id"] == given["to"], "left"), F.lit(0.0)
@@ -141,6 +177,20 @@ def pagerank(links: DataFrame, nodes: DataFrame, seeds: DataFrame | None = None,
     return rank
 
 
+def connected(edges: DataFrame) -> DataFrame:
+    """(id, root): the least id that each end of the edges (src, dst) is connected with; each round takes the least label of the neighbours and of the label's label."""
+    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).filter("src is not null and dst is not null").distinct())
+    label = cut(both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.first("src")).alias("root")))
+    while True:
+        near = both.join(label.select(F.col("id").alias("dst"), "root"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("root").alias("near"))
+        step = label.join(near, "id").select("id", F.least("root", "near").alias("root"), F.col("root").alias("old"))
+        jump = step.select(F.col("id").alias("root"), F.col("root").alias("far"))
+        new = cut(step.join(jump, "root").select("id", F.least("root", "far").alias("root"), "old"))
+        label = new.select("id", "root")
+        if new.filter("root <> old").isEmpty():
+            return label
+
+
 def project_ranks(ranks: DataFrame, edges: DataFrame) -> DataFrame:
     """Own rank plus a capped share of the ranks of what each subject relates to."""
     got = edges.select("subject", "object").distinct().join(ranks, F.col("object") == F.col("id")).groupBy("subject").agg(F.sum("rank").alias("near"))

@@ -107,3 +107,29 @@ def candidates(t: Tables) -> DataFrame:
 
 
 CANDIDATES_SQL = "candidates AS (SELECT doc_id // 100 AS request, doc_id AS id, CAST(ceil(n_chars / 4.0) AS BIGINT) AS cost, 1000.0::DOUBLE - (doc_id * 37) % 997 AS value, doc_id AS position, lang AS kind, doc_id % 50 = 0 AS required FROM documents)"
+
+
+def ranked(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """Add the position from 1 in a global order: a range partition, a sort within it and the counts of the partitions before."""
+    from factloom.session import cut, shuffle_partitions
+
+    placed = cut(rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *order).sortWithinPartitions(*order).withColumn("__mid", F.monotonically_increasing_id()))
+    part = F.shiftright("__mid", 33)
+    counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))  # one row a partition
+    before = counts.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    own = placed.withColumn("__part", part).join(F.broadcast(before), "__part")
+    return own.withColumn(name, (F.col("__before") + F.col("__mid") - F.shiftleft("__part", 33) + 1).cast("int")).drop("__mid", "__part", "__before")
+
+
+def sources(t: Tables) -> DataFrame:
+    """path, language, content: a source file for each document, by its language and with its facts as names."""
+    i, n, s = F.col("doc_id").cast("string"), F.col("n_chars").cast("string"), F.col("source")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    python = text("import os\ndef run_", i, "(x):\n    try:\n        return send('orders-dlq-", s, "')\n    except ValueError:\n        Circuit", n, ".trip()\n    return os.environ[\"KEY_EN\"]\n")
+    go = text("package m\nfunc (s *Store) Save", i, "(x int) {\n\tpanic(\"state-", n, "\")\n\tos.Getenv(\"KEY_FR\")\n}\n")
+    rust = text("pub fn load_", i, "(x: u32) -> u32 {\n    let y = x.checked_add(", n, ").expect(\"dead-letter ", n, "\");\n    std::env::var(\"KEY_DE\");\n    y\n}\n")
+    script = text("export async function pull_", i, "(q) {\n  const circuit_open = q.state\n  try { go(q) } catch (e) { push(\"DLQ\") }\n  go(process.env.KEY_", F.upper("lang"), ")\n}\n")
+    lang = F.col("lang")
+    language = F.when(lang == "en", "python").when(lang == "fr", "go").when(lang == "de", "rust").otherwise("typescript")
+    content = F.when(lang == "en", python).when(lang == "fr", go).when(lang == "de", rust).otherwise(script)
+    return t.documents.select(F.concat(F.lit("src/"), s, F.lit("/m"), i).alias("path"), language.alias("language"), content.alias("content"))
