@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,11 +30,39 @@ def bm25(index: DataFrame, key: str, n_docs: Column | int, mean_len: Column | fl
     return scored.groupBy(key).agg(F.sum("part").alias("score"), F.count("*").alias("n")).filter(F.col("n") == len(set(terms))).select(key, "score")
 
 
-def like_search(rows: DataFrame, key: str, name: str, body: str, needle: str, k: int) -> DataFrame:
-    """Case-insensitive substring: hits in the name first, then the shortest name, then the key; the first k."""
-    low = needle.lower()
-    in_name = F.contains(F.lower(name), F.lit(low))
-    hits = rows.filter(in_name | F.contains(F.lower(body), F.lit(low))).withColumn("tier", F.when(in_name, 0).otherwise(1))
+def bm25_any(index: DataFrame, key: str, terms: list[str]) -> DataFrame:
+    """(key, score) of the documents that hold any of the terms: the sum of what each gives."""
+    sizes = index.groupBy(key, "len").agg(F.lit(1).alias("one"))
+    stats = F.broadcast(sizes.agg(F.count("*").alias("n"), F.avg("len").alias("mean")))  # one row
+    hits = index.filter(F.col("term").isin(terms))
+    df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))  # a row for each query term
+    idf = F.greatest(F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+    return hits.join(df, "term").join(stats).groupBy(key).agg(F.sum(F.round(part, 9).cast("decimal(20,9)")).cast("double").alias("score"))
+
+
+def prefix_search(index: DataFrame, key: str, text: str) -> DataFrame:
+    """Keys of the documents that hold, for every word of the text, a term that begins with it."""
+    words = [w for w in re.split(r"[^\w.-]+", text.lower()) if w]
+    if not words:
+        return index.select(key).limit(0)
+    hit = [F.max(F.col("term").startswith(w).cast("int")) for w in words]
+    return index.groupBy(key).agg(F.least(*hit, F.lit(1)).alias("all")).filter("all = 1").select(key)
+
+
+def rerank(candidates: DataFrame, scores: DataFrame, most: int = 30) -> DataFrame:
+    """(id, score): the first ``most`` candidates by a fifth of their score and five times an outside score (id, score), ties by id; others keep theirs."""
+    top = candidates.orderBy(F.desc("score"), "id").limit(most).join(scores.select("id", F.col("score").alias("outside")), "id", "left")
+    new = top.select("id", (0.2 * F.col("score") + 5 * F.coalesce("outside", F.lit(0.0))).alias("score"))
+    return new.unionByName(candidates.join(new.select("id"), "id", "left_anti").select("id", "score")).orderBy(F.desc("score"), "id")
+
+
+def like_search(rows: DataFrame, key: str, name: str, body: str, needle: str | list[str], k: int) -> DataFrame:
+    """Case-insensitive substring, of one or any of several needles: hits in the name first, then the shortest name, then the key; the first k."""
+    needles = [n.lower() for n in ([needle] if isinstance(needle, str) else needle)]
+    holds = lambda c: reduce(lambda x, n: x | F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(n)), needles, F.lit(False))
+    in_name = holds(name)
+    hits = rows.filter(in_name | holds(body)).withColumn("tier", F.when(in_name, 0).otherwise(1))
     return hits.orderBy("tier", F.char_length(name), key).limit(k).select(key, name, "tier")
 
 

@@ -41,6 +41,19 @@ def like_search(t: Tables) -> DataFrame:
     return search.like_search(t.part, "p_partkey", "p_name", "p_type", "A", 15)
 
 
+@query("SELECT DISTINCT doc_id FROM documents, (SELECT 1) WHERE len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: starts_with(x, 'th'))) > 0 AND len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: starts_with(x, 'an'))) > 0")
+def prefix_search(t: Tables) -> DataFrame:
+    return search.prefix_search(search.postings(t.documents, "doc_id", F.col("text")), "doc_id", "Th, AN").distinct()
+
+
+@query("""WITH s AS (SELECT c_custkey AS id, c_acctbal AS score FROM customer), o AS (SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY 1), top AS (SELECT * FROM s ORDER BY score DESC, id LIMIT 30)
+SELECT s.id, round(CASE WHEN s.id IN (SELECT id FROM top) THEN 0.2 * score + 5 * coalesce(n, 0) ELSE score END, 6) AS score FROM s LEFT JOIN o ON s.id = o.id""")
+def rerank(t: Tables) -> DataFrame:
+    """Customers by balance, the best thirty ranked again by their orders."""
+    outside = t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").cast("double").alias("score"))
+    return search.rerank(t.customer.select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("score")), outside).select("id", F.round("score", 6).alias("score"))
+
+
 @query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS INT) AS position, round((12 - (row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1)) / 12.0, 6)::DOUBLE AS score FROM part QUALIFY position < 12")
 def position_scores(t: Tables) -> DataFrame:
     return search.position_scores(t.part, [F.desc("p_retailprice"), F.col("p_partkey")], 12).select("p_partkey", "position", F.round("score", 6).alias("score"))
