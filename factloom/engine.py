@@ -40,8 +40,12 @@ class Engine:
         return self.spark.read.parquet(f"{self.folder}/{self.generation()}/{name}")
 
     def _write(self, frames: dict[str, DataFrame], generation: str) -> None:
+        """Write the frames, what the edges rest on, and then the name of the generation, which makes it the current one."""
+        at = f"{self.folder}/{generation}"
         for name, df in frames.items():
-            df.write.mode("overwrite").parquet(f"{self.folder}/{generation}/{name}")
+            df.write.mode("overwrite").parquet(f"{at}/{name}")
+        if "evidence" not in frames:
+            ingest.evidence_of(self.spark.read.parquet(f"{at}/edges")).write.mode("overwrite").parquet(f"{at}/evidence")
         self.spark.createDataFrame([(json.dumps(generation),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/current")
 
     def index(self, root: str, ignore: list[str] | None = None, incremental: bool = False) -> DataFrame:

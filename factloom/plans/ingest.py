@@ -40,7 +40,7 @@ def extract_all(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def build(files: DataFrame, facts: DataFrame, config: DataFrame) -> dict[str, DataFrame]:
-    """entities, edges, evidence, symbols of a repository: one projection for each family of facts, then unions and keyed merges."""
+    """entities and edges of a repository: one projection for each family of facts, then unions and keyed merges."""
     detail = F.from_json("detail", "exported boolean, signature string, docstring string, module string, imported string, receiver string, order int, block string, tokens array<string>, via string")
     f = facts.withColumn("d", detail)
     fam = lambda *names: f.filter(F.col("family").isin(*names))
@@ -93,8 +93,12 @@ def build(files: DataFrame, facts: DataFrame, config: DataFrame) -> dict[str, Da
     reach = tests.join(found.filter("internal").select("path", F.col("target").alias("file")).distinct(), "path")
     hits = resolve.link_tests(reach.select("test", "file", "tokens"), own.select("file", "name", "symbol")).withColumn("path", F.regexp_extract("test", r"^test:(.*)#", 1)).withColumn("line", lit(0))
     edges = edges.unionByName(_edges(hits, F.col("test"), lit("tests"), F.col("symbol"), lit("INFERRED"), F.col("confidence")))
-    edges = edges.groupBy("id").agg(*[F.first(c).alias(c) for c in ("subject", "predicate", "object", "provenance")], F.max("confidence").alias("confidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"), F.first("path").alias("path"))
-    evidence = edges.select(F.explode("evidence").alias("id"), "path").distinct()
-    return {"entities": entities, "edges": edges, "evidence": evidence}
+    edges = edges.groupBy("id").agg(*[F.first(c).alias(c) for c in ("subject", "predicate", "object", "provenance")], F.max("confidence").alias("confidence"), F.array_sort(F.collect_set(F.col("evidence")[0])).alias("evidence"), F.first("path").alias("path"))
+    return {"entities": entities, "edges": edges}
+
+
+def evidence_of(edges: DataFrame) -> DataFrame:
+    """(id, path) of what the edges rest on."""
+    return edges.select(F.explode("evidence").alias("id"), "path").distinct()
 
 
