@@ -16,6 +16,24 @@ STORE_CONFIDENCE = 0.8
 _STORE = {"read": "reads", "write": "writes", "publish": "publishes", "subscribe": "subscribes"}
 
 
+_NAMED = {"registration": "registers", "callback": "handles_callback", "validation": "validates", "composition": "composes"}
+
+
+def _named(facts: DataFrame) -> DataFrame:
+    """Facts that name something else, with what of the same file they name: ``target``, null if it isn't there.
+
+    Registrations and callbacks name symbols, validations and compositions schemas, else symbols; ``part`` is the
+    schema that is composed.
+    """
+    whole = F.concat_ws(".", F.nullif("owner", F.lit("")), "name")
+    symbols = facts.filter("family = 'symbol'").select("path", whole.alias("name"), _symbol(F.col("path"), F.col("owner"), F.col("name")).alias("symbol")).distinct()
+    schemas = facts.filter("family = 'schema'").select("path", "name", F.concat(F.lit("schema:"), "path", F.lit("#"), "name").alias("schema")).distinct()
+    rows = facts.filter(F.col("family").isin(*_NAMED)).join(symbols, ["path", "name"], "left").join(schemas, ["path", "name"], "left")
+    rows = rows.join(schemas.withColumnsRenamed({"name": "owner", "schema": "part"}), ["path", "owner"], "left")
+    about = F.col("family").isin("validation", "composition")
+    return rows.withColumn("target", F.when(about, F.coalesce("schema", "symbol")).otherwise(F.col("symbol"))).withColumn("part", F.when(F.col("family") == "composition", F.col("part"))).drop("symbol", "schema")
+
+
 def _file(path: Column) -> Column:
     return F.concat(F.lit("file:"), path)
 
@@ -41,7 +59,7 @@ def extract_all(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def build(files: DataFrame, facts: DataFrame, config: DataFrame) -> dict[str, DataFrame]:
     """entities and edges of a repository: one projection for each family of facts, then unions and keyed merges."""
-    detail = F.from_json("detail", "exported boolean, signature string, docstring string, module string, imported string, receiver string, order int, block string, tokens array<string>, via string")
+    detail = F.from_json("detail", "exported boolean, signature string, docstring string, module string, imported string, receiver string, order int, block string, tokens array<string>, via string, mutable boolean")
     f = facts.withColumn("d", detail)
     fam = lambda *names: f.filter(F.col("family").isin(*names))
     none = lambda t="string": F.lit(None).cast(t)
@@ -58,6 +76,12 @@ def build(files: DataFrame, facts: DataFrame, config: DataFrame) -> dict[str, Da
         key = F.concat(F.lit(f"{kind}:"), F.col("name")) if shared else F.concat(F.lit(f"{kind}:"), F.col("path"), F.lit("#"), F.col("name"))
         entities = entities.unionByName(ents(fam(family), key, F.lit(kind), F.col("name"), path=none() if shared else F.col("path"), line=none("int") if shared else F.col("line"), attributes=F.to_json(F.struct("kind"))))
     entities = entities.unionByName(ents(fam("store"), F.concat(F.lit("store:"), F.col("name")), F.when(F.col("kind").isin("publish", "subscribe"), "topic").otherwise("data_store"), F.col("name"), path=none()))
+    field = F.concat(F.lit("field:"), F.col("path"), F.lit("#"), F.concat_ws(".", F.nullif("owner", F.lit("")), "name"))
+    entities = entities.unionByName(ents(fam("state"), field, F.lit("field"), F.concat_ws(".", F.nullif("owner", F.lit("")), "name"), line=F.col("line"), attributes=F.to_json(F.struct(F.col("d.mutable").alias("mutable"), "owner"))))
+    entities = entities.unionByName(ents(fam("annotation"), F.concat(F.lit("annotation:"), "name"), F.lit("annotation"), F.col("name"), path=none()))
+    named = _named(facts)
+    contract = named.filter("family = 'registration' and target is null")
+    entities = entities.unionByName(ents(contract, F.concat(F.lit("contract:"), "name"), F.lit("contract"), F.col("name"), path=none(), attributes=F.to_json(F.struct("kind"))))
     entities = entities.unionByName(ents(config.filter("predicate = '' and kind <> 'unreadable'"), F.concat(F.col("kind"), F.lit(":"), F.col("name")), F.col("kind"), F.col("name"), attributes=F.col("attributes")))
     entities = entities.groupBy("id").agg(*[F.min_by(c, F.struct(F.coalesce("path", F.lit("")), F.coalesce("line", F.lit(0)))).alias(c) for c in ("kind", "name", "path", "line", "end_line", "exported", "signature", "docstring", "attributes")])
 
@@ -69,6 +93,11 @@ def build(files: DataFrame, facts: DataFrame, config: DataFrame) -> dict[str, Da
     for family, kind, predicate in (("route", "route", "handles"), ("queue", "job", "handles"), ("cli", "command", "handles"), ("schema", "schema", "defines"), ("test", "test", "defines")):
         edges = edges.unionByName(_edges(fam(family), holder, lit(predicate), F.concat(lit(f"{kind}:"), F.col("path"), lit("#"), F.col("name")), extracted, one))
     edges = edges.unionByName(_edges(fam("config"), holder, lit("configured_by"), F.concat(lit("configuration:"), F.col("name")), extracted, one))
+    edges = edges.unionByName(_edges(fam("state"), holder, lit("contains"), field, extracted, one))
+    edges = edges.unionByName(_edges(fam("annotation"), F.concat(lit("annotation:"), "name"), lit("annotates"), holder, extracted, one))
+    reached = F.coalesce("target", F.concat(F.when(F.col("family") == "registration", "contract:").otherwise("unknown:"), "name"))
+    verb = F.create_map(*[lit(x) for p in _NAMED.items() for x in p])[F.col("family")]
+    edges = edges.unionByName(_edges(named, F.coalesce("part", holder), verb, reached, extracted, one))
     predicate = F.create_map(*[lit(x) for p in _STORE.items() for x in p])[F.col("kind")]
     edges = edges.unionByName(_edges(fam("store"), holder, predicate, F.concat(lit("store:"), F.col("name")), extracted, lit(STORE_CONFIDENCE)))
     linked = config.filter("predicate <> ''").withColumn("line", lit(1))
