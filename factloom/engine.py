@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from factloom.functions import rules as R
 from factloom.functions import scoring as S
 from factloom.functions.text import estimate_tokens, similarity, terms
 from factloom.functions.trust import provenance_rank
-from factloom.operators import benchmark, components, derive, flows, graph, lookups, search, selection, store, surface, traces
+from factloom.operators import benchmark, components, derive, flows, graph, lookups, search, selection, semantic, store, surface, traces
 from factloom.operators.state import State
 from factloom.plans import ingest
 from factloom.session import cut, prepare
@@ -116,6 +117,57 @@ class Engine:
         pair = lambda *preds: self.trusted().filter(F.col("predicate").isin(*preds)).select(F.col("subject").alias("src"), F.col("object").alias("dst"))
         return graph.impact(seeds, pair("contains"), pair("calls", "imports", "reads", "writes", "tests"), depth)
 
+    def entity(self, id_: str) -> DataFrame:
+        return self.table("entities").filter(F.col("id") == id_)
+
+    def entity_sources(self, id_: str) -> DataFrame:
+        """The files that an entity was read from."""
+        return lookups.entity_sources(self.table("entities"), self.table("edges")).filter(F.col("id") == id_).select("path")
+
+    def evidence_for(self, path: str) -> DataFrame:
+        """Evidence (id, path) that lies in a file."""
+        return self.table("evidence").filter(F.col("path") == path)
+
+    def imports_in(self, path: str) -> DataFrame:
+        """(name, module, imported, line) of a file's imports."""
+        detail = F.from_json("detail", "module string, imported string")
+        rows = self.table("facts").filter((F.col("path") == path) & (F.col("family") == "import"))
+        return rows.select("name", F.coalesce(detail["module"], "name").alias("module"), detail["imported"].alias("imported"), "line").orderBy("line", "name")
+
+    def tests(self) -> DataFrame:
+        """(id, name, path, symbol) of tests and of what each reaches, null if nothing."""
+        reached = self.table("edges").filter("predicate = 'tests'").select(F.col("subject").alias("id"), F.col("object").alias("symbol"))
+        return self.table("entities").filter("kind = 'test'").select("id", "name", "path").join(reached, "id", "left")
+
+    def runtime_edge_rows(self) -> DataFrame:
+        return self.state.read("runtime_edges").orderBy("source", "target")
+
+    # vectors and claims
+
+    def embed(self, model: Callable[[list[str]], list[list[float]]], name: str) -> int:
+        """Vectors of all entities of the kinds that get one, by a model (texts -> vectors); returns their number."""
+        self.state.merge("embeddings", semantic.embed(semantic.entity_texts(self.table("entities")), model, name), ["id"])
+        return self.state.read("embeddings").count()
+
+    def semantic(self, goal: list[float]) -> DataFrame:
+        """(id, score) of the stored vectors to a goal's, for ``task(scores=...)``."""
+        return semantic.semantic_scores(self.state.read("embeddings"), goal)
+
+    def task_claims(self, pack: DataFrame, claims: DataFrame, source: str) -> str:
+        """A task's pack with the claims (position, claim, evidence) of an outside summarizer, which may name the pack's entities and their evidence alone.
+
+        Raises ValueError with the reasons if any claim is without text or names other evidence.
+        """
+        one = F.lit(0).alias("pack")
+        ids = pack.select("id")
+        proof = self.table("edges").join(ids.withColumnRenamed("id", "subject"), "subject", "left_semi").select(F.explode("evidence").alias("id"))
+        checked = semantic.checked_claims(claims.select(one, "position", "claim", "evidence").withColumnRenamed("position", "at"), ["pack"], F.col("at"), "claim", "evidence", ids.union(proof).select(one, "id"))
+        rows = checked.orderBy("position").collect()  # a summary's claims, bounded by what a reader takes
+        if wrong := [r for r in rows if r["line"] is None]:
+            raise ValueError(f"{len(wrong)} claims rejected: " + "; ".join(f"#{r['position']} " + (f"unknown evidence {r['unknown']}" if r["claim"] else "no text") for r in wrong))
+        text = "\n".join(r["text"] for r in pack.orderBy("position").select("text").collect())
+        return semantic.claims_text(text, source, [r["line"] for r in rows])
+
     def links(self) -> DataFrame:
         """(src, dst, weight) of the rank graph; stored for the facts as they are."""
         def build() -> DataFrame:
@@ -151,13 +203,14 @@ class Engine:
 
         return self.state.cached("ranks", f"{self.generation()}:{self.state.epoch()}", build)
 
-    def _items(self, goal: str, files: list[str], symbols: list[str], scores: DataFrame | None) -> DataFrame:
+    def _items(self, goal: str, files: list[str], symbols: list[str], scores: DataFrame | None, scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
         """Candidates for a goal, each with the parts of its importance: hits of the search and what the caller names, whether the search found it or not.
 
         scores (id, score) replaces the semantic part, in [0, 1].
         """
         ents, edges = self.table("entities"), self.trusted()
-        hits = cut(self.search(goal, 120).select("id", "score"))
+        hits = cut(self.search(goal, 120).select("id", "kind", "name", "score"))
+        hits = cut(semantic.ranked_again(hits, scorer)) if scorer else hits.select("id", "score")
         named = ents.filter(F.col("path").isin(files or [""]) | F.col("name").isin(symbols or [""])).select("id", F.lit(True).alias("required"))
         ids = hits.select("id").union(named.select("id")).distinct()
         words = F.array(*[F.lit(w) for w in self._terms(goal) or [""]])
@@ -179,16 +232,16 @@ class Engine:
             self._words[text] = list(self.spark.range(1).select(terms(F.lit(text))).first()[0])
         return self._words[text]
 
-    def task(self, goal: str, files: list[str] | None = None, symbols: list[str] | None = None, budget: int = BUDGETS["task"], scores: DataFrame | None = None, variant: str = "task-ppr", unseen: bool = False) -> DataFrame:
+    def task(self, goal: str, files: list[str] | None = None, symbols: list[str] | None = None, budget: int = BUDGETS["task"], scores: DataFrame | None = None, variant: str = "task-ppr", unseen: bool = False, scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
         """(id, kind, name, path, importance, tokens, required, text) for a goal within the budget.
 
         Search gives candidates; their importance blends task and global ranks, words, meaning,
         confidence and risk. What the caller names is always in, rendered shorter if it alone passes the
         hard limit; the rest is diversified by file, held to the shares of its kinds and chosen by value for its tokens. ``variant`` leaves
-        stages out; ``unseen`` leaves out what the ledger of this epoch shows.
+        stages out; ``unseen`` leaves out what the ledger of this epoch shows. ``scorer`` scores the best hits of the search again.
         """
         on, hard = benchmark.stages(variant), budget + max(-(-budget // 5), 500)
-        rows = self._items(goal, files or [], symbols or [], scores)
+        rows = self._items(goal, files or [], symbols or [], scores, scorer)
         if unseen:
             rows = epochs.unseen(rows.filter("not required"), self.state.read("ledger")).unionByName(rows.filter("required"))
         zero = F.lit(0.0)

@@ -22,6 +22,13 @@ def edges_with_source(edges: DataFrame, path: str, predicate: str) -> DataFrame:
     return edges.filter((F.col("path") == path) & (F.col("predicate") == predicate)).select("id")
 
 
+def entity_sources(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, path): each entity (id, path) with its own file and those of the edges (subject, object, path) at it, each once."""
+    ends = edges.select(F.explode(F.array_distinct(F.array("subject", "object"))).alias("id"), "path").distinct()
+    at = ends.join(entities.select("id").distinct(), "id", "left_semi")
+    return entities.select("id", "path").union(at).filter("path is not null").distinct()
+
+
 def first_named(entities: DataFrame, names: DataFrame) -> DataFrame:
     """(name, id): the first symbol of each name asked for."""
     own = entities.filter("kind = 'symbol'").join(names.select("name").distinct(), "name", "left_semi")

@@ -119,6 +119,9 @@ class State:
         new = rows.dropDuplicates(["message"]).join(known.select("message"), "message", "left_anti").withColumn("resolved", F.lit(False))
         self.replace("drift", known.unionByName(new.select(*known.columns)))
 
+    def clear_findings(self) -> None:
+        self.clear("drift")
+
     def flow_graphs(self, schema: str) -> DataFrame:
         """The stored graphs decoded by a schema."""
         return self.read("flow_graphs").select("id", F.from_json("graph", schema).alias("graph"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import rules as R
-from factloom.operators import benchmark, lookups, resolution
+from factloom.operators import benchmark, lookups, resolution, semantic
 from factloom.plans import binding as B
 from factloom.plans.registry import Tables, query
 from factloom.sources import failures, manifests
@@ -135,6 +135,29 @@ def ubiquity(t: Tables) -> DataFrame:
     return lookups.ubiquity(B.edges(t))
 
 
+@query("""WITH e AS (SELECT DISTINCT 'part:' || l_partkey AS subject, 'supplier:' || l_suppkey AS object, l_returnflag AS path FROM lineitem),
+ends AS (SELECT subject AS id, path FROM e UNION SELECT object, path FROM e), n AS (SELECT 'part:' || p_partkey AS id, p_brand AS path FROM part)
+SELECT id, path FROM n UNION SELECT ends.id, ends.path FROM ends JOIN n ON ends.id = n.id""")
+def entity_sources(t: Tables) -> DataFrame:
+    """The sources of each part: its brand, and the flags of its lines."""
+    edges = t.lineitem.select(F.concat(F.lit("part:"), "l_partkey").alias("subject"), F.concat(F.lit("supplier:"), "l_suppkey").alias("object"), F.col("l_returnflag").alias("path"))
+    return lookups.entity_sources(t.part.select(F.concat(F.lit("part:"), "p_partkey").alias("id"), F.col("p_brand").alias("path")), edges)
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, CAST(l_partkey AS VARCHAR) AS a, CAST(l_suppkey AS VARCHAR) AS b, CASE WHEN l_linenumber = 4 THEN '' ELSE l_returnflag END AS claim FROM lineitem),
+k AS (SELECT DISTINCT l_orderkey, CAST(l_partkey AS VARCHAR) AS id FROM lineitem WHERE l_quantity > 10 UNION SELECT DISTINCT l_orderkey, CAST(l_suppkey AS VARCHAR) FROM lineitem WHERE l_discount > 0.02),
+c AS (SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) - 1 AS INT) AS position, claim, a, b, EXISTS (SELECT 1 FROM k WHERE k.l_orderkey = l.l_orderkey AND k.id = l.a) AS ka, EXISTS (SELECT 1 FROM k WHERE k.l_orderkey = l.l_orderkey AND k.id = l.b) AS kb FROM l)
+SELECT l_orderkey, position, claim, concat_ws(',', CASE WHEN NOT ka THEN a END, CASE WHEN NOT kb THEN b END) AS unknown, CASE WHEN claim <> '' AND ka AND kb THEN '- ' || claim || ' [evidence: ' || a || ', ' || b || ']' END AS line FROM c""")
+def claim_evidence(t: Tables) -> DataFrame:
+    """Lines of orders as claims that rest on their part and supplier; a pack knows those of large or discounted lines."""
+    one = t.lineitem
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag").alias("order")  # lines may share a number
+    claims = one.select("l_orderkey", order, F.when(F.col("l_linenumber") == 4, "").otherwise(F.col("l_returnflag")).alias("claim"), F.array(F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("evidence"))
+    known = one.filter("l_quantity > 10").select("l_orderkey", F.col("l_partkey").cast("string").alias("id")).union(one.filter("l_discount > 0.02").select("l_orderkey", F.col("l_suppkey").cast("string")))
+    checked = semantic.checked_claims(claims, ["l_orderkey"], F.col("order"), "claim", "evidence", known)
+    return checked.select("l_orderkey", "position", "claim", F.array_join("unknown", ",").alias("unknown"), "line")
+
+
 @query("""SELECT l_orderkey || '/' || l_partkey AS id, max(p_brand) || ':' || max(p_size) || '-' || (max(p_size) + 1) AS places FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey, l_partkey""")
 def edge_locations(t: Tables) -> DataFrame:
     """Where the ends of the calls of orders are: parts have a place, orders none."""
