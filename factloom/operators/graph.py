@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.scoring import PROJECTION_CAP, PROJECTION_FACTOR, edge_weight
@@ -84,14 +84,33 @@ def walk_paths(neighbours: dict[str, list[tuple[int, str]]], entry: str, depth:
     return paths + [p for p in queue if len(p) > 1]
 
 
+def expanded(edges: DataFrame, entries: DataFrame, depth: int = DEPTH, visits: int = VISITS) -> DataFrame:
+    """(seed, node): the nodes that the walk from each entry (id) expands over (src, dst, rank), ``visits`` of a seed at most.
+
+    Level by level: a level's nodes queue by their parent's place, then by rank and id, and only those within the
+    visits that are left go on. A level that passes the visits is the last, so what it leaves out is never needed.
+    """
+    level = cut(entries.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(1).alias("place")).distinct())
+    seen = level
+    for _ in range(depth - 1):
+        steps = level.join(edges, level["node"] == edges["src"]).groupBy("seed", F.col("dst").alias("node")).agg(F.min(F.struct("place", (-F.col("rank")).alias("rank"), "dst")).alias("key"))
+        used = level.groupBy("seed").agg(F.max("place").alias("used")).filter(F.col("used") < visits)
+        steps = steps.join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
+        first = steps.withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy("key"))).filter(F.col("n") < visits)
+        level = cut(first.join(used, "seed").withColumn("place", F.col("used") + F.col("n")).filter(F.col("place") <= visits).select("seed", "node", "place"))
+        if level.isEmpty():
+            break
+        seen = cut(seen.unionByName(level))
+    return seen.select("seed", "node")
+
+
 def bounded_paths(edges: DataFrame, entries: DataFrame, depth: int = DEPTH, visits: int = VISITS) -> DataFrame:
     """Paths (entry, ordinal, path) of each entry (id) over (src, dst, rank).
 
-    The subgraph that an entry reaches within the depth is gathered for it alone, in
-    a task of its own; its size is bounded by what ``depth`` hops reach.
+    What an entry's task gathers are the edges of the nodes that its walk expands, ``visits`` nodes at most; all of
+    them end a path or lead on, so this is what the entry's paths are made of.
     """
-    near = reach(edges, entries, depth)
-    own = near.select("seed", F.col("node").alias("src")).join(edges.select("src", "dst", "rank"), "src")
+    own = expanded(edges, entries, depth, visits).select("seed", F.col("node").alias("src")).join(edges.select("src", "dst", "rank"), "src")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         entry, neighbours = pdf["seed"].iloc[0], {}

@@ -27,6 +27,25 @@ def test_bounded_paths_equal_the_walk(spark):
     assert [r["path"] for r in got] == graph.walk_paths(near, "n1", 12)
 
 
+def test_walks_through_hubs_expand_no_more_than_their_visits(spark):
+    rnd = random.Random(5)
+    edges = {("n0", f"h{i:03}", rnd.choice([3, 4])) for i in range(150)} | {("n1", "n0", 4)} | {(f"h{i:03}", f"n{rnd.randrange(40)}", 3) for i in range(150)}
+    edges |= {(f"n{rnd.randrange(40)}", f"n{rnd.randrange(40)}", rnd.choice([2, 3, 4])) for _ in range(90)}
+    edges = sorted({(a, b): (a, b, r) for a, b, r in sorted(edges)}.values())
+    near = {}
+    for a, b, r in edges:
+        near.setdefault(a, []).append((r, b))
+    df, seeds = spark.createDataFrame(edges, "src string, dst string, rank int"), ["n0", "n1", "n7", "h003", "absent"]
+    entries = spark.createDataFrame([(x,) for x in seeds], "id string")
+    for depth, visits in ((6, 64), (12, 9), (1, 64), (3, 200)):
+        got = {}
+        for r in graph.bounded_paths(df, entries, depth, visits).orderBy("entry", "ordinal").collect():
+            got.setdefault(r["entry"], []).append(r["path"])
+        assert got == {s: p for s in seeds if (p := graph.walk_paths(near, s, depth, visits))}
+        sizes = graph.expanded(df, entries, depth, visits).groupBy("seed").count().collect()
+        assert max(r["count"] for r in sizes) <= visits
+
+
 def test_agglomeration_blocks_chains():
     every = {(0, 1): 20, (0, 2): 20, (1, 2): 20}
     # 7 is below 12, and over three members its mean is below 0.4 of it
