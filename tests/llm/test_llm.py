@@ -388,6 +388,36 @@ def test_passages_equal_brute_force_on_a_small_table(spark):
     assert both >= 0.95 * sum(map(len, want.values())) and both >= 0.95 * sum(map(len, got.values()))
 
 
+def test_a_passage_all_of_whose_seeds_have_nearer_holders(spark):
+    rnd = random.Random(31)
+    shared = fresh(60, rnd)
+    scattered = lambda: [w for at in range(0, 60, 5) for w in shared[at : at + 8] + fresh(70, rnd)]
+    edited = [f"x{k}" if k % 9 == 8 else w for k, w in enumerate(shared)]
+    line = fresh(12, rnd)  # common to all, no passage
+    rows = [(i, fresh(20, rnd) + line + fresh(20, rnd) + (shared if i == 4 else scattered()) + fresh(5, rnd)) for i in range(16)]
+    rows += [(16, fresh(10, rnd) + shared + fresh(10, rnd)), (17, fresh(7, rnd) + scattered()), (18, fresh(10, rnd) + edited + fresh(10, rnd))]
+    rows = [r for i in (*range(17), 17, 18) for r in rows if r[0] == i] + [(i, scattered()) for i in range(19, 25)] + [(30, shared)]
+    got = covered(spark, rows)
+    assert got[16] == set(range(10, 70)) and got[30] == set(range(60)) and len(got[18] & set(range(10, 69))) >= 55 and set(got) == {16, 18, 30}
+
+
+def test_windows_that_share_runs_are_all_found():
+    rnd = np.random.default_rng(5)
+    size = substrings.SEED + 2 * substrings.AROUND
+    windows = rnd.integers(1, 256, (300, size)).astype(np.uint8)
+    windows[:, 110:125] = windows[0, 110:125]  # a line of all
+    for i in range(20, 300, 7):
+        n = int(rnd.integers(0, 50))
+        windows[i, 130 : 130 + n] = windows[i - 7, 130 : 130 + n]
+    windows[200:, 60:100] = windows[0, 60:100]  # enough by common runs alone
+    windows[::3, :40] = 0
+    group = np.repeat([0, 1], [250, 50])
+    own, other = substrings.sharing(windows, group, windows, group)
+    runs = [{bytes(w[k : k + substrings.RUN]) for k in range(size - substrings.RUN + 1) if w[k : k + substrings.RUN].all()} for w in windows]
+    want = {(i, j) for i in range(300) for j in range(300) if group[i] == group[j] and len(runs[i] & runs[j]) >= substrings.LEAST_RUNS}
+    assert want <= set(zip(own.tolist(), other.tolist(), strict=True)) and len(own) <= 1.5 * len(want)
+
+
 def test_a_gap_of_many_edits_within_a_passage(spark):
     rnd = random.Random(14)
     shared = fresh(75, rnd)
