@@ -401,6 +401,16 @@ def test_a_passage_all_of_whose_seeds_have_nearer_holders(spark):
     assert got[16] == set(range(10, 70)) and got[30] == set(range(60)) and len(got[18] & set(range(10, 69))) >= 55 and set(got) == {16, 18, 30}
 
 
+def test_such_a_passage_is_cut_from_its_document(spark):
+    rnd = random.Random(32)
+    shared = fresh(60, rnd)
+    scattered = lambda: [w for at in range(0, 60, 5) for w in shared[at : at + 8] + fresh(70, rnd)]
+    own = fresh(10, rnd)
+    rows = [(i, shared if i == 4 else scattered()) for i in range(12)] + [(12, own + shared)]
+    kept = substrings.drop_repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string"))
+    assert {r["doc_id"]: r["text"].split() for r in kept.collect()}[12] == own
+
+
 def test_windows_that_share_runs_are_all_found():
     rnd = np.random.default_rng(5)
     size = substrings.SEED + 2 * substrings.AROUND
