@@ -79,7 +79,7 @@ class LibraryEncoder:
     """
 
     #: Pieces in one call; each begins at a token with a space.
-    ROW = 100
+    ROW = 1500
     #: Pieces that a worker remembers.
     KEEP = 900_000
 
@@ -88,6 +88,7 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.library.model._resize_cache(0)  # it sees each word once, so its own memory only costs time
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.opens = np.zeros(self.library.get_vocab_size(), bool)  # ids of tokens that begin with a space
         for token, i in self.library.get_vocab().items():

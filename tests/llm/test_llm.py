@@ -468,6 +468,19 @@ def test_store_round_trip(spark, docs, awkward, empty, tmp_path):
         assert token_store.chunks(spark, folder).count() == token_store.chunks(spark, folder).select("digest").distinct().count()
 
 
+def test_long_rows_of_new_words_have_the_library_s_ids():
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdeéß.,1") for _ in range(rnd.randrange(1, 12))) for _ in range(5000)]
+    text = " ".join(words)
+    own = token_store.LibraryEncoder(P.path("byte_bpe_50k.json"))
+    calls = []
+    own._ids, ids = lambda texts: (calls.append(len(texts)), ids(texts))[1], own._ids
+    assert own.encode([text])[0].tolist() == Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert len(calls) <= 6  # few calls, each with many words
+
+
 def test_a_damaged_chunk_is_found(spark, docs, tmp_path):
     token_store.write_store(docs.limit(5), str(tmp_path / "s"), P.path("byte_bpe_50k.json"))
     bad = token_store.chunks(spark, str(tmp_path / "s")).limit(1).select(F.lit(b"0" * 32).alias("digest"), "payload")
