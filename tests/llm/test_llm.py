@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -411,6 +412,25 @@ def test_such_a_passage_is_cut_from_its_document(spark):
     assert {r["doc_id"]: r["text"].split() for r in kept.collect()}[12] == own
 
 
+def test_common_lines_are_held_in_little_memory_and_make_no_matches():
+    rnd = np.random.default_rng(7)
+    n, size = 6000, substrings.SEED + 2 * substrings.AROUND
+    windows = rnd.integers(1, 256, (n, size)).astype(np.uint8)
+    windows[:, 110:140] = windows[0, 110:140]  # a line of all, too short for a passage
+    windows[n - 1, 100:160] = windows[5, 100:160]  # and one passage
+    h, doc, pos = np.full(n, 9, "<u4"), np.arange(n), np.full(n, 200, "<i4")
+    packed = windows.view(substrings._WINDOW_TYPES[3])[:, 0]
+    twice = lambda x: np.concatenate([x, x])
+    tracemalloc.start()
+    count, met = 0, set()
+    for rows in substrings.rest_of(twice(h), twice(doc), np.concatenate([pos, -1 - pos]), twice(packed)):
+        count += len(rows)
+        met |= set(map(tuple, rows[:, :2].tolist()))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert met == {(n - 1, 5)} and count < 100 and most < 100 << 20
+
+
 def test_windows_that_share_runs_are_all_found():
     rnd = np.random.default_rng(5)
     size = substrings.SEED + 2 * substrings.AROUND
