@@ -443,6 +443,45 @@ def test_common_lines_are_held_in_little_memory_and_make_no_matches():
     assert met == {(n - 1, 5)} and count < 100 and most < 50 << 20
 
 
+def test_windows_are_aligned_only_where_enough_of_their_words_agree(monkeypatch):
+    rnd = np.random.default_rng(17)
+    size = substrings.SEED + 2 * substrings.AROUND
+    own, other = rnd.integers(1, 256, (2, 400, size)).astype(np.uint8)
+    for i in range(400):
+        s, n = 116 - int(rnd.integers(0, 60)), int(rnd.integers(20, 110))
+        line = own[i, s : s + n].copy()
+        line[rnd.random(len(line)) < rnd.choice([0, 0.1, 0.2, 0.3])] = 7
+        line = np.delete(line, rnd.integers(0, len(line), int(rnd.integers(0, 4))))
+        other[i, s : s + len(line)] = line
+    own[:, 116:120] = other[:, 116:120] = 9
+    asks = np.arange(400)
+    pairs = np.column_stack([asks, asks + 400])
+    holds = substrings._may_hold(own, other)
+    assert 40 < holds.sum() < 300
+    aligned, former = [], substrings._may_hold
+    monkeypatch.setattr(substrings, "_may_hold", lambda a, b: aligned.append(len(a)) or former(a, b))
+    kept = np.concatenate(list(substrings._holding(iter([pairs]), np.concatenate([own, other]), asks)))
+    assert kept[:, 0].tolist() == np.flatnonzero(holds).tolist() and sum(aligned) < 350
+
+
+def test_alignments_of_many_texts_at_once():
+    rnd = random.Random(18)
+    held, ends, want = [], [], []
+    for _ in range(300):
+        a = [rnd.randrange(rnd.choice([3, 500])) for _ in range(rnd.randrange(0, 400))]
+        b = [w for w in a for w in ([w] if rnd.random() < 0.9 else rnd.choice([[], [w, 1], [2]]))]
+        step = rnd.choice([1, -1])
+        at = len(held)
+        held += (a + b) if step > 0 else (a[::-1] + b[::-1])
+        ends.append((at if step > 0 else at + len(a) - 1, at + len(a) if step > 0 else len(held) - 1, step, len(a), len(b)))
+        want.append(substrings.extend(a, 0, b, 0))
+    end = np.array(ends)
+    got = substrings.extend_all(np.array(held, "<u2"), end[:, :2], end[:, 2], end[:, 3:])
+    # of cells that reach as far either may be taken, so places may differ, not how far they reach
+    assert [p[-1][0] if p else 0 for p, _ in got] == [p[-1][0] if p else 0 for p, _ in want]
+    assert sum(g == w for g, w in zip(got, want, strict=True)) >= 270
+
+
 def test_windows_that_share_runs_are_all_found():
     rnd = np.random.default_rng(5)
     size = substrings.SEED + 2 * substrings.AROUND
